@@ -6,14 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestrata.llm import blockmatrix, warc
+from lodestrata.llm import blockmatrix, htmltext, language, mixing, neardup, packing, quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op9_warc_revisits": warc.op9_warc_revisits,
+    "op9_neardup, quality, warc_revisits": warc.op9_warc_revisits,
     "op10_block_nearest": blockmatrix.op10_block_nearest,
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op9_warc_revisits": warc.OP9_SQL,
+    "op7_hypergeometric_mix": mixing.OP7_SQL,
+    "op9_neardup, quality, warc_revisits": warc.OP9_SQL,
     "op10_block_nearest": blockmatrix.OP10_SQL,
 }
