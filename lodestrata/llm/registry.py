@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from lodestrata.llm import blockmatrix, htmltext, language, mixing, neardup, packing, quality, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_text_density": htmltext.op2_text_density,
+    "op3_best_fit_packing": packing.op3_best_fit_packing,
+    "op4_ngram_ratio": quality.op4_ngram_ratio,
+    "op6_bbit_minhash": neardup.op6_bbit_minhash,
+    "op7_hypergeometric_mix": mixing.op7_hypergeometric_mix,
+    "op8_string_kernel_language": language.op8_string_kernel_language,
     "op9_warc_revisits": warc.op9_warc_revisits,
     "op10_block_nearest": blockmatrix.op10_block_nearest,
 }
