@@ -5,8 +5,9 @@ minima are taken; bands of them give the candidate buckets, and the low b bits o
 whose equal fields, counted by bits, estimate the similarity once chance agreement (2**-b) is taken out. Candidates
 over a generous estimate are confirmed on their full sets.
 
-Two rounds keep pairs linear in the corpus. First each class meets one hub, the smallest id of the bucket that it
-shares most often, and confirmed links give components. Then only buckets that still hold several components are
+Two rounds keep pairs linear in the corpus. A bucket's hub is its member with the most company over all buckets, which
+among edited copies is their original. First each class meets the hub whose buckets it shares most often, and
+confirmed links give components. Then only buckets that still hold several components are
 searched in full, between components, in tiles of bounded size however many documents share a bucket; what is
 confirmed joins components further. A pair of similarity 0.8 shares no band with probability 5e-8.
 
@@ -200,9 +201,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = least_estimate(percent / 100)
 
     members = reps.select("doc_id", F.explode("bands").alias("key"))
-    hubs = members.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = saved(members.join(hubs.hint("merge"), "key"), "buckets")
-    meets = shared.where("hub < doc_id").groupBy("doc_id", "hub").agg(F.count(F.lit(1)).alias("bands"))
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = members.join(sizes.hint("merge"), "key")
+    weights = met.groupBy("doc_id").agg(F.sum("n").alias("weight"))
+    shared = saved(met.join(weights.hint("merge"), "doc_id").select("key", "doc_id", "weight"), "buckets")
+    hubs = shared.groupBy("key").agg(F.max(F.struct("weight", (-F.col("doc_id")).alias("h"))).alias("m")).select("key", (-F.col("m.h")).alias("hub"))
+    meets = shared.join(hubs.hint("merge"), "key").where("hub <> doc_id").groupBy("doc_id", "hub").agg(F.count(F.lit(1)).alias("bands"))
     best = meets.groupBy("doc_id").agg(F.max(F.struct("bands", (-F.col("hub")).alias("h"))).alias("m")).select(F.col("doc_id").alias("b"), (-F.col("m.h")).alias("a"))
     sigs = reps.select("doc_id", "signature", "n_shingles")
     side = lambda x: sigs.select(*[F.col(c).alias(f"{x}_{c}" if c != "doc_id" else x) for c in sigs.columns])
