@@ -220,21 +220,17 @@ def extract(page: str | None) -> str:
         threshold = min(threshold, n.density)
     blocks: list[list[str]] = [[]]
 
-    def walk(n: Node) -> None:
-        for c in n.children:
-            if isinstance(c, str):
-                continue
-            if c is best:
-                _emit(c, blocks)
-            elif id(c) in above:
-                walk(c)
-            elif best.tag not in ("article", "main") and (c.tag in HEADINGS or c.density >= threshold) and c.tag not in INLINE:
-                _emit(c, blocks)
-
     if best is body:
         _emit(body, blocks)
-    else:
-        walk(body)
+    stack = [] if best is body else [body]
+    while stack:
+        n = stack.pop()
+        if n is best:
+            _emit(n, blocks)
+        elif n is body or id(n) in above:
+            stack.extend(c for c in reversed(n.children) if isinstance(c, Node))
+        elif best.tag not in ("article", "main") and (n.tag in HEADINGS or n.density >= threshold) and n.tag not in INLINE:
+            _emit(n, blocks)
     lines = (" ".join("".join(b).split()) for b in blocks)
     return "\n".join(x for x in lines if x)
 

@@ -242,8 +242,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs whose document is the first of its component; of rows that repeat an id, one stays."""
     found = near_duplicates(docs, k=k, percent=percent).where("kept").select(F.col("doc_id").alias("k_id")).distinct()
-    left = docs.join(found.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(F.col("k_id"))).drop("k_id")
-    return left
+    left = docs.join(found.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(F.col("k_id")))
+    nameless = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(-1)
+    return left.drop("k_id").withColumn("_row", nameless).dropDuplicates(["doc_id", "_row"]).drop("_row")
 
 
 def op6_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

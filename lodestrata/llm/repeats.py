@@ -32,13 +32,15 @@ class Chunks:
         return max(1, math.ceil(self.total / bytes_each))
 
 
-def chunks_of(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CHUNK_BYTES) -> Chunks:
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+def chunks_of(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CHUNK_BYTES, keep: tuple[str, ...] = ()) -> Chunks:
+    """keep: columns of docs that travel along, as x0, x1 and so on."""
+    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
+                       *[F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(keep)])
     total = slim.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, math.ceil(total / chunk_bytes))
     partitions = max(1, min(n, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / (32 << 20)))))
     chunk = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(n)).cast("int")
-    return Chunks(slim.select(chunk.alias("chunk"), "doc_id", "text").repartition(partitions, "chunk"), total)
+    return Chunks(slim.select(chunk.alias("chunk"), *slim.columns).repartition(partitions, "chunk"), total)
 
 
 @dataclass
@@ -46,13 +48,14 @@ class Chunk:
     no: int
     ids: np.ndarray  # NO_ID for null
     texts: list[bytes]
+    rows: pa.Table  # in the same order
 
 
 def chunk_from(t: pa.Table) -> Chunk:
     ids = t["doc_id"].combine_chunks().fill_null(NO_ID).to_numpy(zero_copy_only=False)
     texts = [x or b"" for x in t["text"].cast(pa.large_binary()).to_pylist()]
     order = sorted(range(len(texts)), key=lambda i: (ids[i], texts[i]))
-    return Chunk(t["chunk"][0].as_py(), ids[order], [texts[i] for i in order])
+    return Chunk(t["chunk"][0].as_py(), ids[order], [texts[i] for i in order], t.take(order))
 
 
 def by_part(part: np.ndarray, n_parts: int) -> Iterator[tuple[int, np.ndarray]]:

@@ -22,9 +22,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lodestrata.llm.hashing import BASE, BASE_INVERSE, BYTE_VALUES, U, mix
 from lodestrata.llm.repeats import (
@@ -272,10 +274,12 @@ def _later(span: int):
     return run
 
 
-def _remove():
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary()), ("spans", pa.list_(pa.list_(pa.int64())))])
+def _remove(n_kept: int):
+    fields = [("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary()), ("spans", pa.list_(pa.list_(pa.int64())))]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        extra = [left.schema.field(f"x{i}") for i in range(n_kept)] if left.num_rows else []
+        schema = pa.schema([pa.field(*f) for f in fields] + extra)
         if not left.num_rows:
             return pa.Table.from_pylist([], schema=schema)
         c: Chunk = chunk_from(left)
@@ -299,14 +303,15 @@ def _remove():
                 spans.append([])
                 kept.append(text)
         ids = pa.array(c.ids, pa.int64(), mask=c.ids == NO_ID)
-        return pa.Table.from_arrays([ids, pa.array(lengths), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, schema.field("spans").type)], schema=schema)
+        return pa.Table.from_arrays([ids, pa.array(lengths), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, schema.field("spans").type), *[c.rows[f.name] for f in extra]], schema=schema)
 
     return run
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM) -> DataFrame:
-    """doc_id, n_bytes, n_removed, kept (the remaining bytes), spans (removed byte ranges)."""
-    chunks = chunks_of(docs, id_col, text_col)
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM,
+                    keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_bytes, n_removed, kept (the remaining bytes), spans (removed byte ranges), and docs' columns in keep as x0, x1 and so on."""
+    chunks = chunks_of(docs, id_col, text_col, keep=keep)
     parts, segment_parts = chunks.parts(64 << 20), chunks.parts(8 << 20)
     anchors = grouped(chunks.frame, "chunk", _anchors(span, gram, parts), ANCHORS, ANCHORS_DDL)
     hits = grouped(anchors, "part", repeated_anchors, HITS, HITS_DDL)
@@ -314,8 +319,26 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     segments = texts.cogroup(hits.groupBy("h_chunk")).applyInArrow(_segments(span, gram, segment_parts), SEGMENTS_DDL)
     decided = segments.where("part < 0").select(F.col("chunk").alias("h_chunk"), "at", "at_lengths")
     lost = grouped(segments.where("part >= 0"), "part", _later(span), LOST, LOST_DDL)
-    return texts.cogroup(decided.unionByName(lost).groupBy("h_chunk")).applyInArrow(
-        _remove(), "doc_id long, n_bytes long, n_removed long, kept binary, spans array<array<long>>")
+    schema = T._parse_datatype_string("doc_id long, n_bytes long, n_removed long, kept binary, spans array<array<long>>")
+    for i, c in enumerate(keep):
+        schema = schema.add(f"x{i}", docs.schema[c].dataType)
+    return texts.cogroup(decided.unionByName(lost).groupBy("h_chunk")).applyInArrow(_remove(len(keep)), schema)
+
+
+def drop_repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
+    """docs with the repeats cut out of text; characters that a cut breaks go too. n_chars, if there, is counted anew."""
+    columns = [c for c in docs.columns if c not in ("doc_id", "text")]
+    found = without_repeats(docs, span=span, keep=tuple(columns))
+
+    @F.pandas_udf("string")
+    def decoded(kept: pd.Series) -> pd.Series:
+        return kept.map(lambda b: bytes(b).decode("utf-8", "ignore"))
+
+    out = found.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), decoded("kept").alias("text"),
+                       *[F.col(f"x{i}").alias(c) for i, c in enumerate(columns)])
+    if "n_chars" in columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op5_interval_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
