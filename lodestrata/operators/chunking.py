@@ -1,0 +1,71 @@
+"""Parent and child chunks of pages: greedy packing of units split at the most meaningful separators."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from lodestrata.functions.text import sanitize_id
+
+PARENT, CHILD, CHILD_OVERLAP = 1600, 450, 80
+CUTS = ("\n\n", "\n", ". ", "; ", ", ", " ")
+
+
+def units(text: str, size: int) -> list[str]:
+    """Stripped pieces of size characters at most, in order; a piece too long is cut at the next finer separator."""
+    out: list[str] = []
+    todo = [(text.strip(), 0)]
+    while todo:
+        piece, level = todo.pop()
+        if not piece:
+            continue
+        if len(piece) <= size:
+            out.append(piece)
+        elif level == len(CUTS):
+            out.extend(piece[i : i + size] for i in range(0, len(piece), size))
+        else:
+            todo.extend((p.strip(), level + 1) for p in reversed(piece.split(CUTS[level])))
+    return out
+
+
+def tail(chunk: str, overlap: int) -> str:
+    if not overlap or overlap < 0:
+        return ""
+    if len(chunk) <= overlap:
+        return chunk
+    end = chunk[-overlap:]
+    return end.partition(" ")[2] if " " in end else end
+
+
+def split_text(text: str | None, size: int, overlap: int = 0) -> list[str]:
+    """Units joined by spaces while they fit; each next chunk begins with the last words of the one before."""
+    out: list[str] = []
+    for unit in units(text or "", size):
+        if out and len(out[-1]) + 1 + len(unit) <= size:
+            out[-1] = f"{out[-1]} {unit}"
+        elif out and (seed := tail(out[-1], overlap)):
+            out.append(f"{seed} {unit}".strip())
+        else:
+            out.append(unit)
+    return out
+
+
+def chunk_pages(pages: DataFrame, source: str = "source", page: str = "page", text: str = "text") -> DataFrame:
+    """source, page, parent_id, parent_text, chunk_id, text: one row a child, its parent's text beside it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for stem, src, no, body in zip(b["stem"], b["source"], b["page"], b["text"], strict=True):
+                for i, parent in enumerate(split_text(body, PARENT)):
+                    for j, child in enumerate(split_text(parent, CHILD, CHILD_OVERLAP)):
+                        rows.append((src, no, f"{stem}_P{i}", parent, f"{stem}_P{i}_C{j}", child))
+            out = pd.DataFrame(rows, columns=["source", "page", "parent_id", "parent_text", "chunk_id", "text"])
+            yield out.astype({"page": "Int64"})
+
+    stem = sanitize_id(F.concat_ws("_", F.col(source), F.col(page).cast("string")))
+    slim = pages.select(stem.alias("stem"), F.col(source).alias("source"), F.col(page).cast("long").alias("page"), F.col(text).alias("text"))
+    return slim.mapInPandas(run, "source string, page long, parent_id string, parent_text string, chunk_id string, text string")
