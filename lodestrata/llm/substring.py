@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.llm.hashing import U, split_words, window_hashes
 from lodestrata.llm.repeats import (
-    ANCHORS, ANCHORS_DDL, HITS, HITS_DDL, NO_ID, anchor_rows, by_part, chunk_from, chunks_of, covered, grouped, places, places_from, repeated_anchors,
+    ANCHORS, ANCHORS_DDL, CHUNK_BYTES, HITS, HITS_DDL, NO_ID, anchor_rows, by_part, chunk_from, chunks_of, covered, grouped, places, places_from, repeated_anchors,
 )
 from lodestrata.session import table
 
@@ -137,11 +137,12 @@ def _remove(span: int):
     return run
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, block: int = BLOCK) -> DataFrame:
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, block: int = BLOCK,
+                    chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, text (kept words joined by one space), spans (removed word ranges)."""
     if span < 2 * block - 1:
         raise ValueError("a span must hold a whole block wherever it lies")
-    chunks = chunks_of(docs, id_col, text_col)
+    chunks = chunks_of(docs, id_col, text_col, chunk_bytes)
     parts, window_parts = chunks.parts(12 << 20), chunks.parts(24 << 20)
     anchors = grouped(chunks.frame, "chunk", _anchors(span, block, parts), ANCHORS, ANCHORS_DDL)
     hits = grouped(anchors, "part", repeated_anchors, HITS, HITS_DDL)

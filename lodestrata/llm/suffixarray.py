@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from lodestrata.llm.hashing import BASE, BASE_INVERSE, BYTE_VALUES, U, mix
 from lodestrata.llm.repeats import (
-    ANCHORS, ANCHORS_DDL, NO_ID, Chunk, anchor_rows, by_part, chunk_from, chunks_of, covered, grouped, places, places_from, repeated_anchors, HITS, HITS_DDL,
+    ANCHORS, ANCHORS_DDL, CHUNK_BYTES, NO_ID, Chunk, anchor_rows, by_part, chunk_from, chunks_of, covered, grouped, places, places_from, repeated_anchors, HITS, HITS_DDL,
 )
 from lodestrata.session import table
 
@@ -309,9 +309,9 @@ def _remove(n_kept: int):
 
 
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN, gram: int = GRAM,
-                    keep: tuple[str, ...] = ()) -> DataFrame:
+                    keep: tuple[str, ...] = (), chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, n_bytes, n_removed, kept (the remaining bytes), spans (removed byte ranges), and docs' columns in keep as x0, x1 and so on."""
-    chunks = chunks_of(docs, id_col, text_col, keep=keep)
+    chunks = chunks_of(docs, id_col, text_col, chunk_bytes, keep)
     parts, segment_parts = chunks.parts(64 << 20), chunks.parts(8 << 20)
     anchors = grouped(chunks.frame, "chunk", _anchors(span, gram, parts), ANCHORS, ANCHORS_DDL)
     hits = grouped(anchors, "part", repeated_anchors, HITS, HITS_DDL)

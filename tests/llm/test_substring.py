@@ -26,9 +26,9 @@ def brute(rows, span=13):
     return sorted(out, key=lambda r: (r[0] is None, r[0] or 0, r[3]))
 
 
-def run(spark, rows):
+def run(spark, rows, **kwargs):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("chunk", F.lit(1)).withColumn("at", F.lit("x"))
-    got = [tuple(r) for r in substring.without_repeats(docs).select("doc_id", "n_words", "n_removed", "text").collect()]
+    got = [tuple(r) for r in substring.without_repeats(docs, **kwargs).select("doc_id", "n_words", "n_removed", "text").collect()]
     return sorted(got, key=lambda r: (r[0] is None, r[0] or 0, r[3]))
 
 
@@ -37,15 +37,12 @@ def test_documents(spark, sf):
     assert run(spark, rows) == brute(rows)
 
 
-def test_small_alphabet_and_edges(spark, monkeypatch):
-    from lodestrata.llm import repeats
-
-    monkeypatch.setattr(repeats.chunks_of, "__defaults__", (2000,))
+def test_small_alphabet_and_edges(spark):
     rng = random.Random(3)
     passage = " ".join(f"p{rng.randrange(50)}" for _ in range(60))
     rows = [(i, " ".join([f"a{i}"] * (i % 9) + [passage] + [rng.choice("xyz") for _ in range(rng.randrange(40))])) for i in range(60)]
     rows += [(100 + i, " ".join(rng.choice("ab") for _ in range(rng.randrange(80)))) for i in range(40)]
     rows += [(200, None), (201, ""), (202, " \t\x0b"), (203, "é \x85 " * 30), (204, "é \x85 " * 30), (204, passage), (None, passage + " q"), (None, passage)]
     rng.shuffle(rows)
-    assert run(spark, rows) == brute(rows)
+    assert run(spark, rows, chunk_bytes=2000) == brute(rows)
     assert run(spark, []) == []

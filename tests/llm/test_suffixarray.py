@@ -22,30 +22,27 @@ def brute(rows, span=100):
     return out
 
 
-def run(spark, rows):
+def run(spark, rows, **kwargs):
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("chunk", F.lit(1)).withColumn("at", F.lit("x"))
-    got = suffixarray.without_repeats(docs).select("doc_id", "n_bytes", "n_removed", F.size("spans"), "kept").collect()
+    got = suffixarray.without_repeats(docs, **kwargs).select("doc_id", "n_bytes", "n_removed", F.size("spans"), "kept").collect()
     return sorted(((float("inf") if r[0] is None else r[0], *r[1:4], bytes(r[4])) for r in got), key=lambda r: (r[0], r[1], r[2], r[4]))
 
 
-def check(spark, rows):
-    assert run(spark, rows) == sorted(brute(rows), key=lambda r: (r[0], r[1], r[2], r[4]))
+def check(spark, rows, **kwargs):
+    assert run(spark, rows, **kwargs) == sorted(brute(rows), key=lambda r: (r[0], r[1], r[2], r[4]))
 
 
 def test_documents(spark, sf):
     check(spark, [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()])
 
 
-def test_overlaps_and_edges(spark, monkeypatch):
-    from lodestrata.llm import repeats
-
-    monkeypatch.setattr(repeats.chunks_of, "__defaults__", (3000,))
+def test_overlaps_and_edges(spark):
     rng = random.Random(8)
     base = "".join(rng.choice("abcdefgh ") for _ in range(600))
     rows = [(i, "".join(rng.choice("xyz") for _ in range(rng.randrange(50))) + base[rng.randrange(300) :][: rng.randrange(80, 400)] + "é" * rng.randrange(3)) for i in range(80)]
     rows += [(100, "ab" * 300), (101, "ab" * 90), (102, None), (103, ""), (104, "x" * 99), (105, "x" * 100), (106, "x" * 100), (107, "\0" * 250), (None, base), (108, base), (108, "short")]
     rng.shuffle(rows)
-    check(spark, rows)
+    check(spark, rows, chunk_bytes=3000)
     check(spark, [])
 
 
