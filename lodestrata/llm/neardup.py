@@ -5,11 +5,13 @@ minima are taken; bands of them give the candidate buckets, and the low b bits o
 whose equal fields, counted by bits, estimate the similarity once chance agreement (2**-b) is taken out. Candidates
 over a generous estimate are confirmed on their full sets.
 
-Two rounds keep pairs linear in the corpus. A bucket's hub is its member with the most company over all buckets, which
-among edited copies is their original. First each class meets the hub whose buckets it shares most often, and
-confirmed links give components. Then only buckets that still hold several components are
-searched in full, between components, in tiles of bounded size however many documents share a bucket; what is
-confirmed joins components further. A pair of similarity 0.8 shares no band with probability 5e-8.
+Rows stay linear in the corpus however large a group of copies is. A bucket's hub is its member with the most company
+over all buckets, which among edited copies is their original: each class meets the hub whose buckets it shares most
+often, and confirmed links give components. Buckets that still hold several components are searched in full, in tiles
+of bounded size, but a tile gives only a spanning forest of the pairs whose estimates allow a link. The connected parts
+of these forests are clusters, and no link leaves its cluster. Inside a cluster, again in bounded tiles, full sets are
+compared between components and each tile gives a spanning forest of the links it finds. A pair of similarity 0.8
+shares no band with probability 5e-8.
 
 Edge cases: a document without words has an empty set and is linked with nothing; one with fewer words than a shingle
 has one shingle; a null id is linked with nothing and keeps a null component; rows that repeat an id count as versions
@@ -19,15 +21,16 @@ near_duplicates and kept by keep_first.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm.components import connected, release, saved
 from lodestrata.llm.hashing import COEFFICIENTS, U, batches_of, mix, split_words, window_hashes
+from lodestrata.llm.words import n_words
 from lodestrata.session import table
 
 N_HASHES = 128
@@ -35,6 +38,8 @@ ROWS = 4
 BITS = 2
 SLACK = 5.0
 TILE = 4096
+CLUSTER_TILE = 1024
+TILE_SHINGLES = 2_000_000
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _RNG = np.random.default_rng(77)
 MULTIPLIERS = _RNG.integers(0, 2**64, N_HASHES, dtype=U) | U(1)
@@ -170,27 +175,97 @@ def _estimated(least: float, percent: int):
     return run
 
 
-def _tile_pairs(least: float, percent: int):
+def forest(near: Callable[[int, np.ndarray], np.ndarray], comps: np.ndarray, sides: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the graph in which i is next to those of rest that near(i, rest) finds.
+
+    Nodes of one component stand together without an edge. With sides, only nodes of different sides are compared.
+    """
+    rest = np.arange(len(comps))
+    edges: list[tuple[int, int]] = []
+    while len(rest):
+        todo, rest = [int(rest[0])], rest[1:]
+        while todo and len(rest):
+            i = todo.pop()
+            taken = comps[rest] == comps[i]
+            mates = rest[taken]
+            far = np.flatnonzero(~taken) if sides is None else np.flatnonzero(~taken & (sides[rest] != sides[i]))
+            if len(far):
+                met = far[near(i, rest[far])]
+                edges += [(i, int(j)) for j in rest[met]]
+                taken[met] = True
+                todo += rest[met].tolist()
+            todo += mates.tolist()
+            rest = rest[~taken]
+    return edges
+
+
+def _edge_table(edges: list[tuple[int, int]], ids: np.ndarray) -> pa.Table:
+    pairs = np.array([(min(ids[i], ids[j]), max(ids[i], ids[j])) for i, j in edges if ids[i] != ids[j]], np.int64).reshape(-1, 2)
+    return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+
+
+def _tile_candidates(least: float, percent: int):
+    """A spanning forest of a bucket's pairs whose sizes and estimates allow a link."""
+
     def run(t: pa.Table) -> pa.Table:
         ids, comps, parts, sizes = (t[c].to_numpy() for c in ("doc_id", "component", "part", "n_shingles"))
         sig = np.frombuffer(b"".join(t["signature"].to_pylist()), U).reshape(len(ids), -1)
-        lo, hi = t["tile_a"][0].as_py(), t["tile_b"][0].as_py()
-        left, right = np.flatnonzero(parts == lo), np.flatnonzero(parts == hi)
-        found: list[np.ndarray] = []
-        for at in range(0, len(left), 256):
-            rows = left[at : at + 256]
-            n, m = sizes[rows][:, None], sizes[right][None, :]
-            ok = (comps[rows][:, None] != comps[right][None, :]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m)) & (ids[rows][:, None] != ids[right][None, :])
-            i, j = np.nonzero(ok)
-            near = estimate(sig[rows[i]], sig[right[j]]) >= least if len(i) else np.zeros(0, bool)
-            i, j = ids[rows[i[near]]], ids[right[j[near]]]
-            found.append(np.stack([np.minimum(i, j), np.maximum(i, j)]))
-        pairs = np.unique(np.concatenate(found, axis=1), axis=1) if found else np.zeros((2, 0), np.int64)
-        return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
+
+        def near(i: int, rest: np.ndarray) -> np.ndarray:
+            fits = 100 * np.minimum(sizes[i], sizes[rest]) >= percent * np.maximum(sizes[i], sizes[rest])
+            return fits & (estimate(sig[i][None, :], sig[rest]) >= least)
+
+        return _edge_table(forest(near, comps, None if t["tile_a"][0] == t["tile_b"][0] else parts), ids)
+
+    return run
+
+
+def _tile_links(k: int, percent: int):
+    """A spanning forest of the links between components in a tile of a cluster, found on full sets."""
+
+    def run(t: pa.Table) -> pa.Table:
+        sets = shingle_sets(t["text"].cast(pa.large_binary()).to_pylist(), k)
+        by_size = np.argsort([len(s) for s in sets], kind="stable")
+        sets = [sets[i] for i in by_size]
+        ids, comps, parts = (t[c].to_numpy()[by_size] for c in ("doc_id", "component", "part"))
+        sizes = np.array([len(s) for s in sets], np.int64)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        values, codes = np.unique(np.concatenate(sets), return_inverse=True)
+        flags = np.zeros(len(values), bool)
+
+        def near(i: int, rest: np.ndarray) -> np.ndarray:
+            # Sets of a size that allows a link are neighbours in the order of sizes.
+            lo = int(np.searchsorted(100 * sizes, percent * sizes[i]))
+            hi = int(np.searchsorted(percent * sizes, 100 * sizes[i], side="right"))
+            lo, hi = max(lo, int(rest[0])), min(hi, int(rest[-1]) + 1)
+            found = np.zeros(len(rest), bool)
+            inside = (rest >= lo) & (rest < hi)
+            if inside.any():
+                mine = codes[ends[i] : ends[i + 1]]
+                flags[mine] = True
+                both = np.add.reduceat(flags[codes[ends[lo] : ends[hi]]], ends[lo:hi] - ends[lo], dtype=np.int64)
+                flags[mine] = False
+                j = rest[inside]
+                n = both[j - lo]
+                found[inside] = 100 * n >= percent * (sizes[i] + sizes[j] - n)
+            return found
+
+        return _edge_table(forest(near, comps, None if t["tile_a"][0] == t["tile_b"][0] else parts), ids)
 
     return run
 
 
+def _in_tiles(rows: DataFrame, n_parts: Column) -> DataFrame:
+    """Each row once for each tile of its group that it belongs to: part, tile_a, tile_b."""
+    return (
+        rows.withColumn("_n", n_parts)
+        .withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("_n")).cast("int"))
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+        .withColumns({"tile_a": F.least("part", "_other"), "tile_b": F.greatest("part", "_other")})
+        .drop("_n", "_other")
+    )
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row a document."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -220,15 +295,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "component", F.coalesce("component", "doc_id"))
     placed = shared.select("key", "doc_id").join(own.hint("merge"), "doc_id")
     mixed = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("n")).where("c0 < c1").select("key", "n")
-    n_parts = F.ceil(F.col("n") / TILE).cast("int")
-    tiled = (
-        placed.join(mixed.hint("merge"), "key")
-        .withColumn("part", F.pmod(F.xxhash64("doc_id"), n_parts).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), n_parts - 1)))
-        .select("key", F.least("part", "other").alias("tile_a"), F.greatest("part", "other").alias("tile_b"), "part", "doc_id", "component", "n_shingles", "signature")
-    )
-    across = tiled.groupBy("key", "tile_a", "tile_b").applyInArrow(_tile_pairs(least, percent), "a long, b long").distinct()
-    more = saved(confirmed(saved(across, "pairs"), slim, k, percent), "links")
+    tiled = _in_tiles(placed.join(mixed.hint("merge"), "key"), F.ceil(F.col("n") / TILE).cast("int"))
+    across = tiled.groupBy("key", "tile_a", "tile_b").applyInArrow(_tile_candidates(least, percent), "a long, b long").distinct()
+    clusters = saved(connected(saved(across, "pairs")).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "clusters")
+    release(docs)
+
+    inside = clusters.join(own.select("doc_id", "component", "n_shingles").hint("merge"), "doc_id")
+    totals = inside.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("m"))
+    full = inside.select("doc_id", "cluster", "component").distinct().join(slim.hint("merge"), "doc_id").where(n_words(F.col("text")) > 0)
+    cut = _in_tiles(full.join(totals.hint("merge"), "cluster"), F.ceil(F.greatest(F.col("n") / CLUSTER_TILE, F.col("m") / TILE_SHINGLES)).cast("int"))
+    more = saved(cut.groupBy("cluster", "tile_a", "tile_b").applyInArrow(_tile_links(k, percent), "a long, b long"), "links")
     joined = saved(connected(links.unionByName(more)), "components")
     release(docs)
 
