@@ -7,20 +7,27 @@ from pyspark.sql import functions as F
 
 MIN_RECORD_CHARS = 20
 NBSP = " "
-FOLDERS = {"classical_texts": "classical_text", "clinical": "clinical", "formulations": "formulation", "pharmacopoeia": "pharmacopoeia",
-           "regulatory": "regulatory", "research_papers": "research_paper"}
-#: Work titles in order of precedence, each with what file names call it.
+# Fixed values that results depend on: folders and their document types, works and what file names call them (the first
+# that matches wins), romanization rules in order, monograph headers, divisions, and the patterns of headings and properties.
+FOLDERS = {
+    "classical_texts": "classical_text", "pharmacopoeia": "pharmacopoeia", "research_papers": "research_paper",
+    "regulatory": "regulatory", "clinical": "clinical", "formulations": "formulation",
+}
 WORKS = (
     ("Charaka Samhita", ("charaka", "caraka")), ("Sushruta Samhita", ("sushruta", "susruta")), ("Ashtanga Hridaya", ("ashtanga_hridaya",)),
     ("Ashtanga Sangraha", ("ashtanga_sangraha",)), ("Madhava Nidana", ("madhava",)), ("Bhavaprakasha", ("bhavaprakasha",)),
     ("Ayurvedic Pharmacopoeia of India", ("api",)), ("Ayurvedic Formulary of India", ("afi",)),
 )
-ROMANIZED = (("chh", "c"), ("ch", "c"), ("sh", "s"), ("w", "v")) + tuple((x * 2, y) for x, y in (("a", "a"), ("e", "i"), ("o", "u"))) + (("ri", "r"),)
-SECTIONS = tuple(sorted((
-    "DOSE", "SYNONYMS", "DESCRIPTION", "CONSTITUENTS", "FORMULATIONS", "MACROSCOPIC", "MICROSCOPIC", "THERAPEUTIC USES", "PROPERTIES AND ACTION",
-    "IMPORTANT FORMULATIONS", "IDENTITY, PURITY AND STRENGTH")))
-STHANAS = {s.lower(): s for s in ("Sutrasthana", "Nidanasthana", "Vimanasthana", "Sharirasthana", "Indriyasthana", "Chikitsasthana", "Kalpasthana",
-                                  "Siddhisthana", "Uttaratantra", "Uttarasthana")} | {"sarirasthana": "Sharirasthana", "chikitsitasthana": "Chikitsasthana"}
+ROMANIZED = (("chh", "c"), ("ch", "c"), ("sh", "s"), ("w", "v"), ("aa", "a"), ("ee", "i"), ("oo", "u"), ("ri", "r"))
+SECTIONS = (
+    "SYNONYMS", "DESCRIPTION", "IDENTITY, PURITY AND STRENGTH", "CONSTITUENTS", "PROPERTIES AND ACTION", "THERAPEUTIC USES",
+    "FORMULATIONS", "IMPORTANT FORMULATIONS", "DOSE", "MICROSCOPIC", "MACROSCOPIC",
+)
+STHANAS = {
+    "sutrasthana": "Sutrasthana", "nidanasthana": "Nidanasthana", "vimanasthana": "Vimanasthana", "sharirasthana": "Sharirasthana",
+    "sarirasthana": "Sharirasthana", "indriyasthana": "Indriyasthana", "chikitsasthana": "Chikitsasthana", "chikitsitasthana": "Chikitsasthana",
+    "kalpasthana": "Kalpasthana", "siddhisthana": "Siddhisthana", "uttaratantra": "Uttaratantra", "uttarasthana": "Uttarasthana",
+}
 HEADING = r"^[A-Z][A-Z0-9 ,.&()/'-]{2,48}$"
 PROPERTIES = {"rasa": "rasa", "guna": "gu[nṇ]a", "virya": "v[iī]rya", "vipaka": "vip[aā]ka", "karma": "karma"}
 SPACE = r"(?U)\s"
@@ -42,7 +49,7 @@ def normalize_whitespace(c: Column) -> Column:
 def doc_type_of(path: Column) -> Column:
     parts = F.split(F.lower(path), "/")
     out = F.lit("unknown")
-    for folder in reversed(("classical_texts", "pharmacopoeia", "research_papers", "regulatory", "clinical", "formulations")):
+    for folder in reversed(FOLDERS):
         out = F.when(F.array_contains(parts, folder), FOLDERS[folder]).otherwise(out)
     return out
 

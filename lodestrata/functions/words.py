@@ -9,11 +9,18 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-STOPWORDS = tuple(sorted(
-    """why where when how what whom who which may shall would will should could can does did do had have has being been be as its it those these that this
-    not but or and from by with for of to at on in were was are is an the a might""".split()))
-PROXY_STOPWORDS = tuple(sorted("does do can will were was from that this it as be by at on with how which what for are is in to of or and an a the".split()))
-ACRONYMS = tuple(sorted("ayush gmp api fssai afi niimh ccras".split()))
+# Fixed values that results depend on: stop words of the tokenizer, those of the answer proxies, and acronyms kept as they are.
+STOPWORDS = (
+    "the", "a", "an", "is", "are", "was", "were", "in", "on", "at", "to", "of", "for", "with", "by", "from", "and", "or", "but", "not",
+    "this", "that", "these", "those", "it", "its", "as", "be", "been", "being", "has", "have", "had", "do", "does", "did",
+    "which", "who", "whom", "what", "how", "when", "where", "why", "can", "could", "should", "would", "will", "shall", "may", "might",
+)
+PROXY_STOPWORDS = (
+    "the", "a", "an", "and", "or", "of", "to", "in", "is", "are", "for", "what", "which", "how", "with", "on", "at", "by", "be", "as", "it",
+    "this", "that", "from", "was", "were", "will", "can", "do", "does",
+)
+ACRONYMS = ("api", "afi", "gmp", "ayush", "ccras", "niimh", "fssai")
+
 TOKEN = "[ऀ-ॿ]+|[a-z0-9]+"
 
 

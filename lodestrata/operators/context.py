@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 DISCLAIMER = "Consult a qualified practitioner before use."
-RISK_WORDS = ("contraindicat", "pregnan", "toxic", "caution", "avoid", "adverse", "overdose", "side effect", "not to be")
+# Fixed values that results depend on: what marks a sentence as a safety note.
+RISK_WORDS = ("contraindicat", "caution", "avoid", "pregnan", "toxic", "interact", "overdose", "side effect", "adverse")
 
 
 def expand_to_parents(hits: DataFrame, parents: DataFrame) -> DataFrame:
