@@ -8,10 +8,11 @@ over a generous estimate are confirmed on their full sets.
 Rows stay linear in the corpus however large a group of copies is. A bucket's hub is its member with the most company
 over all buckets, which among edited copies is their original: each class meets the hub whose buckets it shares most
 often, and confirmed links give components. Buckets that still hold several components are searched in full, in tiles
-of bounded size, but a tile gives only a spanning forest of the pairs whose estimates allow a link. The connected parts
-of these forests are clusters, and no link leaves its cluster. Inside a cluster, again in bounded tiles, full sets are
-compared between components and each tile gives a spanning forest of the links it finds. A pair of similarity 0.8
-shares no band with probability 5e-8.
+of bounded size, but a tile gives only a spanning forest of the pairs of components whose estimates allow a link. The
+connected parts of these forests are clusters of whole components, and no link leaves its cluster. Inside a cluster,
+again in bounded tiles, full sets of all members are compared between components, and each tile gives a spanning forest
+of the links it finds; the largest component of a cluster isn't compared with itself. A pair of similarity 0.8 shares
+no band with probability 5e-8.
 
 Edge cases: a document without words has an empty set and is linked with nothing; one with fewer words than a shingle
 has one shingle; a null id is linked with nothing and keeps a null component; rows that repeat an id count as versions
@@ -205,17 +206,17 @@ def _edge_table(edges: list[tuple[int, int]], ids: np.ndarray) -> pa.Table:
 
 
 def _tile_candidates(least: float, percent: int):
-    """A spanning forest of a bucket's pairs whose sizes and estimates allow a link."""
+    """A spanning forest of a bucket's components, next to each other where the sizes and estimate of a pair allow a link."""
 
     def run(t: pa.Table) -> pa.Table:
-        ids, comps, parts, sizes = (t[c].to_numpy() for c in ("doc_id", "component", "part", "n_shingles"))
-        sig = np.frombuffer(b"".join(t["signature"].to_pylist()), U).reshape(len(ids), -1)
+        comps, parts, sizes = (t[c].to_numpy() for c in ("component", "part", "n_shingles"))
+        sig = np.frombuffer(b"".join(t["signature"].to_pylist()), U).reshape(len(comps), -1)
 
         def near(i: int, rest: np.ndarray) -> np.ndarray:
             fits = 100 * np.minimum(sizes[i], sizes[rest]) >= percent * np.maximum(sizes[i], sizes[rest])
             return fits & (estimate(sig[i][None, :], sig[rest]) >= least)
 
-        return _edge_table(forest(near, comps, None if t["tile_a"][0] == t["tile_b"][0] else parts), ids)
+        return _edge_table(forest(near, comps, None if t["tile_a"][0] == t["tile_b"][0] else parts), comps)
 
     return run
 
@@ -266,6 +267,33 @@ def _in_tiles(rows: DataFrame, n_parts: Column) -> DataFrame:
     )
 
 
+def _in_cluster_tiles(rows: DataFrame) -> DataFrame:
+    """As _in_tiles, for rows of clusters: doc_id, cluster, component, n_shingles. No tile is of the largest component alone.
+
+    A cluster that fits into one tile is one; else the largest component has parts of its own, each to meet the others'.
+    """
+    sums = (F.sum("n").alias("n"), F.sum("m").alias("m"))
+    sizes = rows.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("m"))
+    totals = sizes.groupBy("cluster").agg(*sums, F.max(F.struct("n", "m", "component")).alias("main"))
+    parts = lambda n, m: F.ceil(F.greatest(n / CLUSTER_TILE, m / TILE_SHINGLES)).cast("int")
+    fits = (F.col("n") <= CLUSTER_TILE) & (F.col("m") <= TILE_SHINGLES)
+    plan = totals.select(
+        "cluster", F.col("main.component").alias("_main"),
+        F.when(fits, 1).otherwise(parts(F.col("n") - F.col("main.n"), F.col("m") - F.col("main.m"))).alias("_rest"),
+        F.when(fits, 0).otherwise(parts(F.col("main.n"), F.col("main.m"))).alias("_own"))
+    of_main = (F.col("component") == F.col("_main")) & (F.col("_own") > 0)
+    code = F.xxhash64("doc_id")
+    part = F.when(of_main, F.col("_rest") + F.pmod(code, F.greatest("_own", F.lit(1)))).otherwise(F.pmod(code, F.col("_rest")))
+    last = F.when(of_main, F.col("_rest")).otherwise(F.col("_rest") + F.col("_own")) - 1
+    return (
+        rows.join(plan.hint("merge"), "cluster")
+        .withColumn("part", part.cast("int"))
+        .withColumn("_other", F.explode(F.sequence(F.lit(0), last)))
+        .withColumns({"tile_a": F.least("part", "_other"), "tile_b": F.greatest("part", "_other")})
+        .drop("_main", "_rest", "_own", "_other", "n_shingles")
+    )
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row a document."""
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -297,13 +325,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     mixed = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.count(F.lit(1)).alias("n")).where("c0 < c1").select("key", "n")
     tiled = _in_tiles(placed.join(mixed.hint("merge"), "key"), F.ceil(F.col("n") / TILE).cast("int"))
     across = tiled.groupBy("key", "tile_a", "tile_b").applyInArrow(_tile_candidates(least, percent), "a long, b long").distinct()
-    clusters = saved(connected(saved(across, "pairs")).select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "clusters")
+    clusters = saved(connected(saved(across, "pairs")).select(F.col("node").alias("component"), F.col("component").alias("cluster")), "clusters")
     release(docs)
 
-    inside = clusters.join(own.select("doc_id", "component", "n_shingles").hint("merge"), "doc_id")
-    totals = inside.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("m"))
-    full = inside.select("doc_id", "cluster", "component").distinct().join(slim.hint("merge"), "doc_id").where(n_words(F.col("text")) > 0)
-    cut = _in_tiles(full.join(totals.hint("merge"), "cluster"), F.ceil(F.greatest(F.col("n") / CLUSTER_TILE, F.col("m") / TILE_SHINGLES)).cast("int"))
+    inside = _in_cluster_tiles(own.select("doc_id", "component", "n_shingles").join(clusters.hint("merge"), "component"))
+    cut = inside.join(slim.hint("merge"), "doc_id").where(n_words(F.col("text")) > 0)
     more = saved(cut.groupBy("cluster", "tile_a", "tile_b").applyInArrow(_tile_links(k, percent), "a long, b long"), "links")
     joined = saved(connected(links.unionByName(more)), "components")
     release(docs)

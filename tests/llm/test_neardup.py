@@ -64,6 +64,29 @@ def test_chains_and_edges(spark):
     assert run(spark, []) == []
 
 
+def straggling():
+    """Families of edits of one text: a dominant component, and a straggler near to just one member, which is no hub."""
+    rng = random.Random(8)
+    rows = []
+    for family in range(4):
+        base = [f"f{family}w{j}x{rng.randrange(10**6)}" for j in range(200)]
+        edit = lambda places: " ".join(f"{w}e" if j in places else w for j, w in enumerate(base))
+        shared, further = {10, 20}, {30, 40, 50, 60}
+        free = range(70, 195, 5)
+        texts = [edit(set()), edit(shared), edit(shared | further)]
+        texts += [edit({j}) for j in range(68, 168)] + [edit(shared | set(rng.sample(free, 3))) for _ in range(30)]
+        rng.shuffle(texts)
+        rows += [(1000 * family + i, t) for i, t in enumerate(texts)]
+    return rows
+
+
+def test_stragglers_of_a_dominant_component(spark, monkeypatch):
+    rows = straggling()
+    assert run(spark, rows) == brute(rows)
+    monkeypatch.setattr(neardup, "CLUSTER_TILE", 40)
+    assert run(spark, rows) == brute(rows)
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = dict(map(tuple, components.connected(links).collect()))
