@@ -130,6 +130,8 @@ def parse(page: str) -> Node:
                     while len(stack) > i:
                         pop()
                     break
+        if tag in ("svg", "math") and m[3].endswith("/"):
+            continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
@@ -137,7 +139,7 @@ def parse(page: str) -> Node:
         node = Node(tag, stack[-1], _is_noise(tag, m[3], in_article > 0))
         if not depth_noise and not node.noise:
             stack[-1].children.append(node)
-        if tag in VOID or m[3].endswith("/") and tag in ("svg", "path"):
+        if tag in VOID or m[3].endswith("/") and tag == "path":
             continue
         stack.append(node)
         depth_noise += node.noise

@@ -77,6 +77,12 @@ def test_extract():
     assert htmltext.extract("<div>" * 5000 + "deep") == "deep"
 
 
+def test_self_closed_icons():
+    for icon in ("<svg/>", '<svg class="i" />', "<math/>", "<SVG viewBox='0 0 1 1'/>", "<svg><path d='x'/></svg>"):
+        assert htmltext.extract(f"<p>before {icon}after<p>more</p>") == "before after\nmore"
+        assert htmltext.extract(f"<p>before {icon}after<p>more <svg>x</svg>end") == "before after\nmore end"
+
+
 def test_extract_pages(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (None, "", "<p>t")]
     got = htmltext.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))).collect()
