@@ -2,7 +2,9 @@
 
 A page is parsed once into a tree (raw text elements, implied end tags, attributes with or without quotes). Parts
 whose tag, role, class or id says what they are (scripts, menus, headers, footers, sidebars, notices, adverts, forms,
-comments) don't count. Each node's composite density is its characters for each tag, adjusted for the characters and
+comments) don't count. A class or id says so by a whole name (sidebar) or by one made of such words and words of layout
+only (sidebar-left), but not of an article or main element, nor of one that holds most of the page's text, unless an
+article or main element with text stands outside it. Each node's composite density is its characters for each tag, adjusted for the characters and
 tags in links; its density sum is that of its children's densities. The subtree with the largest sum is the article;
 the least density on the way from it up to the body is the threshold that parts beside it must reach to count too.
 
@@ -46,15 +48,18 @@ NOISE_WORDS = frozenset(
     sidebar sidebars aside rail widget widgets cookie cookies consent gdpr notice notices notification alert popup modal overlay paywall disclaimer
     comment comments comentarios commentaires kommentare disqus reply replies respond discussion responses share sharing social follow related recommended
     recommendations subscribe subscription newsletter signup login search toolbar tags taglist copyright legal""".split())
+LAYOUT_WORDS = frozenset(
+    """area bar block box btn button buttons col column container form group icon icons inner item items left link links list main module outer panel
+    posts primary right row secondary section site slot top unit wrap wrapper zone""".split())
 SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=\d)")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "text", "noise", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "text", "noise", "chars", "tags", "link_chars", "link_tags", "density", "total", "suspect")
 
-    def __init__(self, tag: str, parent: Node | None, noise: bool) -> None:
-        self.tag, self.parent, self.noise = tag, parent, noise
+    def __init__(self, tag: str, parent: Node | None, noise: bool, suspect: bool = False) -> None:
+        self.tag, self.parent, self.noise, self.suspect = tag, parent, noise, suspect
         self.children: list[Node | str] = []
         self.density = self.total = 0.0
 
@@ -72,11 +77,57 @@ def _is_noise(tag: str, attributes: str, in_article: bool) -> bool:
             return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
             return True
-        if name in ("class", "id") and tag not in ("html", "body") and not NOISE_WORDS.isdisjoint(SPLIT.split(CAMEL.sub(" ", value).lower())):
-            return True
     return False
 
 
+def _is_suspect(tag: str, attributes: str) -> bool:
+    """Whether a class or id name consists of a noise word, or of such words and words of layout."""
+    if not attributes or tag in ("html", "body", "article", "main"):
+        return False
+    for m in ATTRIBUTE.finditer(attributes):
+        if m[1].lower() in ("class", "id"):
+            for token in (m[2] or m[3] or m[4] or "").split():
+                words = {w for w in SPLIT.split(CAMEL.sub(" ", token).lower()) if w and not w.isdigit()}
+                if not NOISE_WORDS.isdisjoint(words) and words <= NOISE_WORDS | LAYOUT_WORDS:
+                    return True
+    return False
+
+
+def _drop_suspects(root: Node) -> None:
+    """Drops the subtrees that a class or id marks, except what holds most of the text and has no article beside it."""
+    order, todo = [], [root]
+    while todo:
+        n = todo.pop()
+        order.append(n)
+        todo.extend(c for c in n.children if isinstance(c, Node))
+    if not any(n.suspect for n in order):
+        return
+    inside: dict[int, tuple[int, int]] = {}  # characters, and those of them in articles
+    for n in reversed(order):
+        chars = articles = 0
+        for c in n.children:
+            if isinstance(c, str):
+                chars += len("".join(c.split()))
+            else:
+                chars += inside[id(c)][0]
+                articles += inside[id(c)][1]
+        inside[id(n)] = chars, chars if n.tag in ("article", "main") else articles
+    chars, articles = inside[id(root)]
+    within = {id(root): False}  # whether an article is around it
+    for n in order:
+        below = within[id(n)] or n.tag in ("article", "main")
+        kept: list[Node | str] = []
+        for c in n.children:
+            if isinstance(c, str):
+                kept.append(c)
+                continue
+            within[id(c)] = below
+            mine, in_articles = inside[id(c)]
+            if not c.suspect or 2 * mine > chars and (below or articles == in_articles):
+                kept.append(c)
+        n.children = kept
+
+
 def parse(page: str) -> Node:
     """The tree of a page, its root a node html. Noise is marked; its text isn't kept."""
     root = Node("html", None, False)
@@ -136,7 +187,7 @@ def parse(page: str) -> Node:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
-        node = Node(tag, stack[-1], _is_noise(tag, m[3], in_article > 0))
+        node = Node(tag, stack[-1], _is_noise(tag, m[3], in_article > 0), _is_suspect(tag, m[3]))
         if not depth_noise and not node.noise:
             stack[-1].children.append(node)
         if tag in VOID or m[3].endswith("/") and tag == "path":
@@ -145,6 +196,7 @@ def parse(page: str) -> Node:
         depth_noise += node.noise
         in_article += tag in ("article", "main")
     text(page[at:])
+    _drop_suspects(root)
     return root
 
 

@@ -83,6 +83,19 @@ def test_self_closed_icons():
         assert htmltext.extract(f"<p>before {icon}after<p>more <svg>x</svg>end") == "before after\nmore end"
 
 
+def test_class_words():
+    text = "<h2>Head</h2><p>A paragraph of the article that has words enough to weigh.<p>And another one, to be sure."
+    want = "Head\nA paragraph of the article that has words enough to weigh.\nAnd another one, to be sure."
+    for tag, name in (("div", 'class="content has-sidebar"'), ("main", "class=with-sidebar"), ("article", 'class="post comments-open"'), ("div", "id='page-header-fixed'"),
+                      ("div", "class=sidebar"), ("main", "class=sidebar"), ("article", "id=footer"), ("section", "class=related-work"), ("div", "class=legal-background")):
+        assert htmltext.extract(f"<{tag} {name}>{text}</{tag}><div class=ad>Buy</div>") == want
+        assert htmltext.extract(f"<div><div {name}>{text}</div><div class='cookie-notice left'>We use cookies</div></div>") == want
+    assert htmltext.extract(f"<article>{text}<p class=search-results>The results of the search, in a sentence.</article>") == want + "\nThe results of the search, in a sentence."
+    for name in ("sidebar", "sidebar-left", "adSlot1", "comments_area", "x site-footer"):
+        assert htmltext.extract(f"<div>{text}</div><div class='{name}'><p>Beside the article, a sentence.</div>") == want
+    assert htmltext.extract(f"<article>{text}</article><div class=comments><p>{'A long remark. ' * 99}</div>") == want
+
+
 def test_extract_pages(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (2, None, None), (None, "", "<p>t")]
     got = htmltext.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))).collect()
