@@ -5,8 +5,8 @@ the n-grams that the landmarks hold. The kernel of two texts is the cosine of th
 training texts (Nystrom), and one-versus-rest kernel ridge regression is solved on the Nystrom features. Prediction is
 three products of matrices a batch: sets x landmarks, Nystrom map, weights.
 
-Training takes the texts with the smallest hashes of each language, max_train a language and max_chars long at most;
-both bounds are parameters, and nothing else is sampled: every document is predicted from its whole text.
+Training takes the texts with the smallest hashes of each language, max_train a language and max_chars long at most, or
+the shortest texts of a language that has only longer ones; both bounds are parameters, and nothing else is sampled: every document is predicted from its whole text.
 
 Edge cases: a text that is null or without a letter is und with score 0; so are all texts if nothing can be learned; a
 null lang isn't learned from; rows that repeat are predicted alike; an empty table gives no rows; other columns are
@@ -98,18 +98,28 @@ def is_held_out(id_col: str):
 
 
 def train(docs: DataFrame, id_col: str, text_col: str, lang_col: str, max_train: int = MAX_TRAIN, max_chars: int = MAX_CHARS) -> Model | None:
-    """Two passes: counts by language, then the sample. What reaches the driver is max_train texts a language at most."""
+    """Two passes: distinct texts by language, then the sample; one more if a language has only texts over max_chars.
+
+    What reaches the driver is max_train texts a language at most.
+    """
     text = F.col(text_col).cast("string")
-    fit_rows = docs.where(~is_held_out(id_col) & F.col(lang_col).isNotNull() & text.rlike(r"\p{L}") & (F.length(text) <= max_chars)).select(
-        text.alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text).alias("order"))
-    near = docs.where(~is_held_out(id_col) & F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).cast("string").alias("lang")).count()
-    counts = {r["lang"]: r["count"] for r in near.collect()}
+    fit_rows = docs.where(~is_held_out(id_col) & F.col(lang_col).isNotNull() & text.rlike(r"\p{L}")).select(
+        text.alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(text).alias("order"),
+        F.when(F.length(text) > max_chars, F.length(text)).otherwise(0).alias("over"))
+    short = F.countDistinct(F.when(F.col("over") == 0, F.col("order"))).alias("n")
+    counts = {r["lang"]: r["n"] for r in fit_rows.groupBy("lang").agg(short).collect()}
     # A hash threshold leaves a few times what is wanted of each language; where texts are short of it, all are ranked.
-    limits = {k: (4 * max_train / n if n > 8 * max_train else 1.0) for k, n in counts.items()}
-    ranked = F.row_number().over(W.partitionBy("lang").orderBy("order", "text"))
+    limits = {k: (4 * max_train / n if n > 8 * max_train else 1.0) for k, n in counts.items() if n}
     wanted = F.lit(False)
     for k, share in limits.items():
-        wanted = wanted | ((F.col("lang") == k) & (F.col("order") <= int(-(2**63) + share * (2**64 - 1)) if share < 1 else F.col("lang") == k))
+        near = F.col("order") <= int(-(2**63) + share * (2**64 - 1)) if share < 1 else F.lit(True)
+        wanted = wanted | ((F.col("lang") == k) & (F.col("over") == 0) & near)
+    if long := [k for k in counts if k not in limits]:
+        sizes = fit_rows.where(F.col("lang").isin(long)).select("lang", "over", "order").distinct()
+        nth = F.row_number().over(W.partitionBy("lang").orderBy("over", "order"))
+        for r in sizes.withColumn("rank", nth).where(F.col("rank") <= max_train).groupBy("lang").agg(F.max("over").alias("most")).collect():
+            wanted = wanted | ((F.col("lang") == r["lang"]) & (F.col("over") <= r["most"]))
+    ranked = F.row_number().over(W.partitionBy("lang").orderBy("over", "order", "text"))
     sample = fit_rows.where(wanted).dropDuplicates(["lang", "text"]).withColumn("rank", ranked).where(F.col("rank") <= max_train)
     rows = sorted((r["order"], r["lang"], r["text"]) for r in sample.select("order", "lang", "text").collect())
     return fit([r[2] for r in rows], [r[1] for r in rows])

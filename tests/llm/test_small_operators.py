@@ -2,6 +2,7 @@
 
 import gzip
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -116,6 +117,19 @@ def test_language(spark, sf):
     assert {r.lang_pred for r in language.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_of_copies_and_long_texts(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    say = lambda letters, n: " ".join("".join(rng.choice(list(letters), 5)) for _ in range(n))
+    rows = [(i, say("abcde", 9), "a") for i in range(40)] + [(100 + i, "fghij " * 9, "b") for i in range(2000)]
+    rows += [(3000 + i, say("fghij", 9), "b") for i in range(40)] + [(4000 + i, say("klmno", 30 + i), "c") for i in range(40)]
+    learned = []
+    monkeypatch.setattr(language, "fit", lambda texts, labels: learned.extend(zip(labels, texts)))
+    language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), "doc_id", "text", "lang", max_train=8, max_chars=100)
+    assert [sum(x == k for x, _ in learned) for k in "abc"] == [8, 8, 8]
+    free = sorted(len(t) for i, t, _ in rows if i >= 4000 and zlib.crc32(str(i).encode()) % 5)
+    assert sorted(len(t) for x, t in learned if x == "c") == free[:8]
+
+
 def test_archive_round_trip(spark, tmp_path):
     bodies = ["<p>a</p>", "<p>a</p>", None, "", "x\r\n\r\nWARC/1.1\r\n\r\n", "é" * 1000, "<p>a</p>"]
     rows = [(10 - i, f"http://h/{i} x" if i % 2 else None, b) for i, b in enumerate(bodies)] + [(None, "u", "é" * 1000), (4, "u", "<p>a</p>")]
