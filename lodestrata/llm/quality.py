@@ -1,8 +1,8 @@
 """Quality rules: base counts, and a hashed n-gram log-likelihood ratio between trusted texts and the raw corpus.
 
 Words and word pairs are hashed into n_buckets. The raw multinomial counts every n-gram of every document; the target
-multinomial counts those of trusted documents (quality 1, not toxic), of which the max_target ones with the smallest
-id hashes are taken, so their ids can be broadcast whatever the size of the corpus. The target is smoothed towards
+multinomial counts those of all trusted documents (quality 1, not toxic), whose ids are joined to the corpus whatever
+their number, or of the max_target ones with the smallest id hashes if that is given. The target is smoothed towards
 the raw corpus, so that a bucket without evidence weighs nothing. A document's score is the mean log ratio of its
 n-grams; it is kept if that reaches min_score and the base rules hold. Weights are whole millionths, so sums are exact
 in any order. Everything is DataFrame expressions; only the n_buckets weights pass through the driver.
@@ -25,7 +25,6 @@ from lodestrata.llm.words import words
 from lodestrata.session import table
 
 N_BUCKETS = 8192
-MAX_TARGET = 20_000
 MIN_SCORE = -0.05
 SPAN = 8
 MICRO = 1_000_000
@@ -84,17 +83,19 @@ def base_counts(text: Column, w: Column, hashes: Column) -> dict[str, Column]:
     }
 
 
-def trusted_ids(labels: DataFrame, max_target: int = MAX_TARGET) -> DataFrame:
+def trusted_ids(labels: DataFrame, max_target: int | None = None) -> DataFrame:
     good = labels.where((F.col("quality") == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0) & F.col("doc_id").isNotNull())
-    return good.select(F.col("doc_id").cast("long").alias("t_id")).distinct().orderBy(F.xxhash64("t_id"), "t_id").limit(max_target)
+    ids = good.select(F.col("doc_id").cast("long").alias("t_id")).distinct()
+    return ids if max_target is None else ids.orderBy(F.xxhash64("t_id"), "t_id").limit(max_target)
 
 
-def bucket_weights(docs: DataFrame, labels: DataFrame, n_buckets: int = N_BUCKETS, max_target: int = MAX_TARGET,
+def bucket_weights(docs: DataFrame, labels: DataFrame, n_buckets: int = N_BUCKETS, max_target: int | None = None,
                    id_col: str = "doc_id", text_col: str = "text") -> list[int]:
     """The log ratio of each bucket in millionths."""
-    ids = F.broadcast(trusted_ids(labels, max_target))
-    slim = docs.select(F.col(id_col).cast("long").alias("id"), word_hashes(words(F.col(text_col).cast("string"))).alias("h"))
-    marked = slim.join(ids, F.col("id") == F.col("t_id"), "left")
+    ids = trusted_ids(labels, max_target)
+    slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    joined = slim.join(ids, F.col("id") == F.col("t_id"), "left")  # texts are smaller than their hashes where they're shuffled
+    marked = joined.select("t_id", word_hashes(words(F.col("text"))).alias("h"))
     grams = marked.select(F.col("t_id").isNotNull().cast("long").alias("t"), F.explode(let(F.col("h"), lambda h: gram_buckets(h, n_buckets))).alias("b"))
     rows = grams.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target")).collect()  # n_buckets rows at most
     return weights_of({r["b"]: (r["raw"], r["target"]) for r in rows}, n_buckets)

@@ -80,3 +80,9 @@ def test_edges(spark):
     check(spark, rows, [(4, 1, 0), (4, 1, 0), (5, 0, 0), (None, 1, 0), (6, None, None)])
     check(spark, rows, [])
     check(spark, [], [(1, 1, 0)])
+
+
+def test_all_trusted_ids(spark):
+    labels = spark.range(20_500).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
+    assert quality.trusted_ids(labels).count() == 20_500
+    assert quality.trusted_ids(labels, 7).count() == 7
