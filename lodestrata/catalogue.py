@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
 from lodestrata.functions.words import PROXY_STOPWORDS, fold_diacritics, stems
-from lodestrata.operators import chunking, context, evaluation, retrieval
+from lodestrata.operators import chunking, context, evaluation, glued, lexicon, providers, retrieval
 from lodestrata.session import table
+from lodestrata.sources import evaluation as runs
+from lodestrata.sources import files
+from lodestrata.sources import stores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -35,14 +37,25 @@ n AS (SELECT count(*) AS n, avg(len(t)) AS avg_dl FROM t WHERE len(t) > 0),
 s AS (SELECT token, count(*) AS df, ln(any_value(n.n) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM p, n GROUP BY token),
 i AS (SELECT token, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM s) ELSE raw END AS idf FROM s),
 q AS (SELECT item_id AS qid, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS token FROM benchmark),
-c AS (SELECT qid, doc_id, round(sum(idf * 2.5 / (1 + 1.5 * (0.25 + 0.75 * dl / avg_dl))), 9) AS score FROM q JOIN p USING (token) JOIN i USING (token), n
+c AS (SELECT qid, doc_id, round(sum(idf) * (2.5 / (1 + 1.5 * (0.25 + 0.75 * any_value(dl) / any_value(avg_dl)))), 9) AS score FROM q JOIN p USING (token) JOIN i USING (token), n
       GROUP BY qid, doc_id HAVING score > 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id)::INT AS rank FROM c)
 """
 
 
+_INDEXES: dict[tuple[str, str], retrieval.Index] = {}
+
+
+def _index(spark: SparkSession, sf_dir: str) -> retrieval.Index:
+    """The keyword index of documents, built once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _INDEXES:
+        _INDEXES[key] = retrieval.Index.build(table(spark, sf_dir, "documents"), "doc_id", F.col("text"))
+    return _INDEXES[key]
+
+
 def _bm25(spark: SparkSession, sf_dir: str, n: int) -> DataFrame:
-    return retrieval.bm25(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n)
+    return _index(spark, sf_dir).search(table(spark, sf_dir, "benchmark"), "item_id", n)
 
 
 @query(f"WITH {BM25_SQL} SELECT qid, doc_id AS id, round(score, 6) AS score, rank FROM r WHERE rank <= 6")
@@ -58,9 +71,7 @@ def token_postings(spark, sf_dir):
 
 @query(f"WITH {BM25_SQL} SELECT token, df, round(idf, 6) AS idf FROM s JOIN i USING (token)")
 def term_stats_idf(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    n = docs.where(F.size(retrieval.tokens(F.col("text"))) > 0).count()
-    return retrieval.term_stats(retrieval.postings(docs, "doc_id", F.col("text")), n).withColumn("idf", F.round("idf", 6))
+    return _index(spark, sf_dir).terms.withColumn("idf", F.round("idf", 6))
 
 
 @query(r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t\x{A0}]+', ' ', 'g'),
@@ -126,18 +137,14 @@ def romanization_key(spark, sf_dir):
 @query("""WITH r AS (SELECT source, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents)
 SELECT source, round(avg((length(w) >= 15)::INT), 9) AS ratio FROM r GROUP BY source""")
 def glued_run_ratio(spark, sf_dir):
-    runs = table(spark, sf_dir, "documents").select("source", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w"))
-    return runs.groupBy("source").agg(F.round(F.avg((F.length("w") >= 15).cast("int")), 9).alias("ratio"))
+    return glued.glued_ratio(table(spark, sf_dir, "documents")).withColumn("ratio", F.round("ratio", 9))
 
 
 @query("""WITH r AS (SELECT source, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w FROM documents),
 g AS (SELECT source FROM r GROUP BY source HAVING avg((length(w) >= 15)::INT) > 0.05)
 SELECT lower(w) AS word, count(*) AS n FROM r WHERE source NOT IN (SELECT source FROM g) AND length(w) >= 3 AND length(w) < 15 GROUP BY 1 HAVING count(*) >= 3""")
 def protected_vocab(spark, sf_dir):
-    runs = table(spark, sf_dir, "documents").select("source", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("w"))
-    glued = runs.groupBy("source").agg(F.avg((F.length("w") >= 15).cast("int")).alias("r")).where("r > 0.05")
-    counts = runs.join(glued, "source", "left_anti").where("length(w) between 3 and 14").groupBy(F.lower("w").alias("word")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.where("n >= 3")
+    return glued.protected_words(table(spark, sf_dir, "documents"))
 
 
 @query("""WITH c AS (SELECT source, unnest(string_split(text, '')) AS ch FROM documents)
@@ -175,13 +182,13 @@ v AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
 c AS (SELECT q.vec_id AS qid, e.vec_id AS id, q.label AS want, e.label AS kind,
   round(CASE WHEN list_inner_product(e.v, e.v) * list_inner_product(q.v, q.v) = 0 THEN 0 ELSE
     list_inner_product(e.v, q.v) / (sqrt(list_inner_product(e.v, e.v)) * sqrt(list_inner_product(q.v, q.v))) END, 9) AS score
-  FROM v q, v e WHERE q.vec_id < 50)
+  FROM v q, v e WHERE q.vec_id % 20 = 0)
 """
 
 
 def _cosine(spark, sf_dir, filtered):
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("v"), F.col("label").alias("kind"))
-    queries = vectors.where("id < 50").select(F.col("id").alias("qid"), F.col("v").alias("q"), F.col("kind").alias("want"))
+    queries = vectors.where("id % 20 = 0").select(F.col("id").alias("qid"), F.col("v").alias("q"), F.col("kind").alias("want"))
     return retrieval.cosine_topk(vectors, queries, 10, filtered=filtered)
 
 
@@ -227,26 +234,26 @@ def bm25_multivariant_best(spark, sf_dir):
 
 @query("""SELECT d.doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)""")
 def existing_anti_join(spark, sf_dir):
-    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti").select("doc_id")
+    return stores.absent(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "doc_id").select("doc_id")
 
 
 @query("""WITH e AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n FROM events)
 SELECT user_id, event_id, value FROM e WHERE n = 1""")
 def upsert_latest_wins(spark, sf_dir):
-    latest = table(spark, sf_dir, "events").groupBy("user_id").agg(F.max(F.struct("ts", "event_id", "value")).alias("m"))
-    return latest.select("user_id", "m.event_id", "m.value")
+    return stores.latest_by(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value"), "user_id", "ts", "event_id").drop("ts")
 
 
-@query(f"""WITH {BM25_SQL}, e AS (SELECT qid, rank, doc_id AS id, source AS parent_id, text FROM r JOIN documents USING (doc_id) WHERE rank <= 15),
+@query(f"""WITH {BM25_SQL}, e AS (SELECT qid, rank, doc_id AS id, source || ' ' || lang AS parent_id, text FROM r JOIN documents USING (doc_id) WHERE rank <= 15),
+pf AS (SELECT source || ' ' || lang AS parent_id, min(doc_id) AS first FROM documents WHERE lang <> 'en' GROUP BY ALL),
+pt AS (SELECT pf.parent_id, first, text AS parent_text FROM pf JOIN documents ON doc_id = first),
 k AS (SELECT *, row_number() OVER (PARTITION BY qid, parent_id ORDER BY rank, id) AS n FROM e)
-SELECT qid, rank, CASE WHEN parent_id < 'src5' THEN parent_id ELSE id::VARCHAR END AS id, CASE WHEN parent_id < 'src5' THEN upper(parent_id) ELSE text[:80] END AS text,
-  text[:80] AS retrieval_text FROM k WHERE n = 1 OR parent_id >= 'src5'""")
+SELECT qid, rank, CASE WHEN pt.first IS NULL THEN k.id::VARCHAR ELSE k.parent_id END AS id, coalesce(pt.parent_text, k.text) AS text,
+  k.text AS retrieval_text FROM k LEFT JOIN pt USING (parent_id) WHERE n = 1 OR pt.first IS NULL""")
 def parent_expand_dedup(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    hits = _bm25(spark, sf_dir, 15).join(docs, F.col("id") == F.col("doc_id")).select("qid", "rank", F.col("id").cast("string").alias("id"), F.col("source").alias("parent_id"), F.substring("text", 1, 80).alias("text"))
-    parents = docs.select(F.col("source").alias("parent_id")).distinct().where("parent_id < 'src5'").withColumn("parent_text", F.upper("parent_id"))
-    ordered = hits.withColumn("rank", F.col("rank").cast("int"))
-    return context.expand_to_parents(ordered, parents).drop("parent_id")
+    docs = table(spark, sf_dir, "documents").withColumn("parent_id", F.concat_ws(" ", "source", "lang"))
+    hits = _bm25(spark, sf_dir, 15).join(docs, F.col("id") == F.col("doc_id")).select("qid", "rank", F.col("id").cast("string").alias("id"), "parent_id", "text")
+    parents = docs.where("lang <> 'en'").groupBy("parent_id").agg(F.min_by("text", "doc_id").alias("parent_text"))
+    return context.expand_to_parents(hits, parents).drop("parent_id")
 
 
 @query(f"""WITH {BM25_SQL}, h AS (SELECT qid, rank, doc_id AS id, source, doc_id AS page, text FROM r JOIN documents USING (doc_id) WHERE rank <= 6),
@@ -376,32 +383,36 @@ def span_lead_containment(spark, sf_dir):
 @query("""WITH c AS (SELECT source, lang, count(*) AS n, min(doc_id) AS first FROM documents GROUP BY source, lang), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY n DESC, first) AS k FROM c)
 SELECT source, lang, n FROM r WHERE k = 1""")
 def mode_per_group(spark, sf_dir):
-    counts = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
-    best = counts.groupBy("source").agg(F.max_by(F.struct("lang", "n"), F.struct("n", -F.col("first"))).alias("m"))
-    return best.select("source", "m.lang", "m.n")
+    return evaluation.mode_of(table(spark, sf_dir, "documents"), "source", "lang", "doc_id")
 
 
 @query("SELECT doc_id, sha256('hashed-64|search_document|' || text) AS key FROM documents")
 def embed_cache_keys(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.concat(F.lit("hashed-64|search_document|"), "text"), 256).alias("key"))
+    return table(spark, sf_dir, "documents").select("doc_id", providers.cache_key("hashed-64", "search_document", F.col("text")).alias("key"))
 
 
 @query("""SELECT source, count(*) AS n, sum(length(text))::BIGINT // 4 + 1 AS tokens, ceil(count(*) / 96)::BIGINT AS calls FROM documents GROUP BY source""")
 def batch_plan(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("source").agg(
-        F.count(F.lit(1)).alias("n"), (F.floor(F.sum(F.length("text")) / 4) + 1).alias("tokens"), F.ceil(F.count(F.lit(1)) / 96).alias("calls"))
+    return providers.call_plan(table(spark, sf_dir, "documents"), "source", F.col("text"))
 
 
-@query("""SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW) AS n FROM events""")
+@query("""SELECT event_id, user_id, (sum(length(props) // 4 + 1) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW))::BIGINT AS used FROM events""")
 def token_throttle_window(spark, sf_dir):
-    w = W.partitionBy("user_id").orderBy(F.expr("unix_micros(cast(ts as timestamp))")).rangeBetween(-60_000_000, 0)
-    return table(spark, sf_dir, "events").select("event_id", "user_id", F.count(F.lit(1)).over(w).alias("n"))
+    tokens = (F.floor(F.length("props") / 4) + 1).cast("long")
+    return providers.usage_window(table(spark, sf_dir, "events"), "user_id", "ts", tokens).select("event_id", "user_id", "used")
 
 
-@query("""SELECT event_id, regexp_extract(props, '\\{.*\\}', 0)::JSON->>'k' AS raw, TRY_CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events""")
+_RESPONSE = """CASE WHEN event_id % 7 = 0 THEN 'no scores' ELSE 'Scores: {"faithfulness": ' || (event_id % 11) || ', "relevance": ' ||
+  CASE WHEN event_id % 5 = 0 THEN 'null' ELSE '"' || (event_id % 10) || '"' END || ', "completeness": ' || (event_id % 9) || ', "reasoning": "' || event_type || '"}' END"""
+
+
+@query(f"""WITH r AS (SELECT event_id, regexp_extract({_RESPONSE}, '\\{{.*\\}}', 0) AS j FROM events),
+k AS (SELECT event_id, TRY_CAST(j->>'faithfulness' AS INT) AS f, TRY_CAST(j->>'relevance' AS INT) AS r, TRY_CAST(j->>'completeness' AS INT) AS c, j->>'reasoning' AS w
+  FROM (SELECT event_id, CASE WHEN j = '' THEN NULL ELSE j::JSON END AS j FROM r))
+SELECT event_id, CASE WHEN f + r + c IS NOT NULL THEN f END AS faithfulness, CASE WHEN f + r + c IS NOT NULL THEN r END AS relevance,
+  CASE WHEN f + r + c IS NOT NULL THEN c END AS completeness, CASE WHEN f + r + c IS NOT NULL THEN w END AS reasoning FROM k""")
 def judge_json_parse(spark, sf_dir):
-    body = F.regexp_extract("props", r"(?s)\{.*\}", 0)
-    return table(spark, sf_dir, "events").select("event_id", F.get_json_object(body, "$.k").alias("raw"), F.expr("try_cast(get_json_object(regexp_extract(props, '(?s)\\\\{.*\\\\}', 0), '$.k') as int)").alias("k"))
+    return table(spark, sf_dir, "events").select("event_id", providers.judge_scores(F.expr(_RESPONSE)).alias("s")).select("event_id", "s.*")
 
 
 @query("""WITH w AS (SELECT conv_id, turn, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+'))) AS name FROM conversations),
@@ -415,10 +426,90 @@ def mentioned_terms(spark, sf_dir):
 
 @query()
 def safety_sentences(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", context.risk_sentences(F.col("text"), ("idiot", "licensed", "avoid")).alias("sentences"))
+    return table(spark, sf_dir, "documents").select("doc_id", context.risk_sentences(F.col("text")).alias("sentences"))
 
 
 @query("""SELECT count(*) AS n_documents, count(DISTINCT source) AS n_sources, sum(n_chars)::BIGINT AS n_chars, sum((length(text) < 20)::INT)::BIGINT AS n_short FROM documents""")
 def corpus_stats(spark, sf_dir):
     return table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n_documents"), F.count_distinct("source").alias("n_sources"), F.sum("n_chars").alias("n_chars"),
                                                  F.sum((F.length("text") < T.MIN_RECORD_CHARS).cast("long")).alias("n_short"))
+
+
+@query("""WITH c AS (SELECT source, doc_id AS page, source || '_' || doc_id || '_P' || i AS id, i, text[(i * 400 + 1):(i * 400 + 400)] AS t
+  FROM (SELECT *, unnest(range(0, ((length(text) - 1) // 400 + 1)::BIGINT)) AS i FROM documents WHERE length(text) > 0))
+SELECT source, page, string_agg(t, ' ' ORDER BY i) AS text, max(i * 401 + length(t))::INT AS stop, count(*)::INT AS n_parts FROM c GROUP BY source, page""")
+def rebuild_pages(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").where("length(text) > 0")
+    cut = docs.withColumn("i", F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 400).cast("int"))))
+    parents = cut.select(F.concat_ws("_", "source", "doc_id", F.concat(F.lit("P"), "i")).alias("chunk_id"), "source", F.col("doc_id").alias("page"),
+                         F.substring("text", F.col("i") * 400 + 1, F.lit(400)).alias("text"))
+    pages = runs.rebuilt_pages(parents)
+    return pages.select("source", "page", "text", F.element_at("parts", -1)["stop"].alias("stop"), F.size("parts").alias("n_parts"))
+
+
+@query("""WITH d AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN source || '_pdf_' || doc_id || '_P1' WHEN 1 THEN source || '_P2' ELSE source || '_x_' || doc_id || '_P0_C3' END AS p FROM documents)
+SELECT doc_id, nullif(regexp_extract(p, '^(.+)_(\\d+)_P\\d+$', 1), '') AS stem, TRY_CAST(nullif(regexp_extract(p, '^(.+)_(\\d+)_P\\d+$', 2), '') AS BIGINT) AS page,
+  CASE WHEN regexp_matches(p, '_C\\d+$') THEN regexp_replace(p, '_C\\d+$', '') END AS parent FROM d""")
+def support_ids(spark, sf_dir):
+    p = F.when(F.col("doc_id") % 4 == 0, F.concat_ws("_", "source", F.lit("pdf"), "doc_id", F.lit("P1"))).when(F.col("doc_id") % 4 == 1, F.concat("source", F.lit("_P2"))).otherwise(
+        F.concat_ws("_", "source", F.lit("x"), "doc_id", F.lit("P0_C3")))
+    found = table(spark, sf_dir, "documents").select("doc_id", p.alias("p")).select("doc_id", "p", evaluation.support_of(F.col("p")).alias("s"))
+    return found.select("doc_id", "s.stem", "s.page", evaluation.parent_of(F.col("p"), F.lit(None).cast("string")).alias("parent"))
+
+
+@query("""WITH p AS (SELECT source, lang AS chapter, doc_id AS page FROM documents), s AS (SELECT source, chapter, min(page) AS first_page, max(page) AS last_page FROM p GROUP BY ALL),
+c AS (SELECT DISTINCT item_id AS qid, 'src' || (item_id % 20) AS source, CASE WHEN item_id % 2 = 0 THEN 'fr' ELSE 'de' END AS chapter FROM benchmark)
+SELECT qid, source, chapter, page::VARCHAR AS parent_id, page, first_page, last_page, last_page - first_page + 1 > 25 AND source <> 'src3' AS too_long
+FROM c JOIN s USING (source, chapter) JOIN p USING (source, chapter)""")
+def chapter_gold(spark, sf_dir):
+    parents = table(spark, sf_dir, "documents").select("source", F.col("lang").alias("chapter"), F.col("doc_id").cast("string").alias("parent_id"), F.col("doc_id").alias("page"))
+    cited = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.concat(F.lit("src"), F.col("item_id") % 20).alias("source"), F.when(F.col("item_id") % 2 == 0, "fr").otherwise("de").alias("chapter"))
+    whole = parents.where("source = 'src3'").select("source", "chapter").distinct()
+    return evaluation.chapter_gold(cited, parents, single_topic=whole)
+
+
+@query(f"""WITH {EVAL_SQL}, rr AS (SELECT qid, qid % 2 AS config, first_rank FROM per UNION ALL SELECT qid, qid % 2, CASE WHEN first_rank > 1 THEN first_rank - 1 END FROM per)
+SELECT 'c' || config AS config, CASE WHEN count(first_rank) = 1 THEN printf('%.3f', avg(first_rank)) ELSE printf('%.3f', avg(first_rank)) || ' (' || printf('%.3f', min(first_rank)::DOUBLE) || '–' || printf('%.3f', max(first_rank)::DOUBLE) || ')' END AS first_rank
+FROM rr GROUP BY config HAVING count(first_rank) > 0""")
+def run_ranges(spark, sf_dir):
+    per = evaluation.score_retrieval(_works(spark, sf_dir), _gold(spark, sf_dir), 6).select("qid", F.concat(F.lit("c"), F.col("qid") % 2).alias("config"), "first_rank")
+    earlier = per.withColumn("first_rank", F.when(F.col("first_rank") > 1, F.col("first_rank") - 1))
+    return evaluation.run_ranges(per.unionByName(earlier), ("first_rank",)).where("first_rank <> 'n/a'")
+
+
+@query(r"""WITH m AS (SELECT conv_id, turn, unnest([text, upper(text), text || ' again', text]) AS v, unnest([0, 1, 2, 3]) AS i FROM (SELECT conv_id, turn, trim(regexp_replace(replace(text, 'ß', 'ss'), '\s+', ' ', 'g')) AS text FROM conversations WHERE role = 'user') WHERE text <> '')
+SELECT conv_id * 100 + turn AS qid, (row_number() OVER (PARTITION BY conv_id, turn ORDER BY min(i)) - 1)::INT AS variant, arg_min(v, i) AS text FROM m GROUP BY conv_id, turn, lower(v)""")
+def expand_questions(spark, sf_dir):
+    asked = table(spark, sf_dir, "conversations").where("role = 'user'").select((F.col("conv_id") * 100 + F.col("turn")).alias("qid"), F.trim(F.regexp_replace(F.replace("text", F.lit("ß"), F.lit("ss")), r"\s+", " ")).alias("text"))
+    return providers.expand_questions(asked, Echo())
+
+
+class Echo:
+    """A provider for tests and offline use: it rephrases a question by its own words."""
+
+    def complete(self, prompt: str, max_tokens: int) -> str:
+        question = prompt.rsplit("Question: ", 1)[-1]
+        return f"{question.upper()}\n\n {question} again \n{question}"
+
+
+#: A dictionary of the shape that names come in, for the driver's tables, which have none of their own.
+NAMES = {
+    "entry_one": {"latin": ["license", "license terms"], "english": ["licence", "permit"]},
+    "entry_two": {"sanskrit": ["Ashvagandha", "Aśvagandhā"], "latin": ["Withania somnifera"], "english": ["winter cherry"]},
+}
+
+
+@query()
+def lexicon_tokens(spark, sf_dir):
+    names = lexicon.Lexicon(list(NAMES.values()))
+    return table(spark, sf_dir, "documents").select("doc_id", names.tokens()(F.col("text")).alias("tokens"))
+
+
+@query()
+def matching_text(spark, sf_dir):
+    return glued.with_matching_text(table(spark, sf_dir, "documents").select("doc_id", "source", "text")).select("doc_id", "bm25_text")
+
+
+@query()
+def html_text(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", files.page_text(F.col("html")).alias("text"))

@@ -124,17 +124,32 @@ def citation(text_name: Column, sthana: Column, chapter: Column, page: Column) -
 
 
 def fix_glyphs(text: Column, text_name: Column, table: dict[str, str]) -> Column:
-    """Letters that fonts of one work show for others; grams that another shows as pounds; soft hyphens elsewhere."""
-    letters = F.regexp_replace(F.regexp_replace(F.replace(text, F.lit("ƒÊ"), F.lit("µ")), r"(?U)(?<=[^\W\d_])µ(?=[^\W\d_])", "ñ"), r"(?U)(?<=[^\W\d_])°(?=[^\W\d_])", "o")
+    """Letters that fonts of one work show for others; grams that another shows as pounds; soft hyphens and ā elsewhere."""
+    between = r"(?U)(?<=[^\W\d_])%s(?=[^\W\d_])"
+    letters = F.regexp_replace(F.regexp_replace(F.replace(text, F.lit("ƒÊ"), F.lit("µ")), between % "µ", "ñ"), between % "°", "o")
+    joined = F.regexp_replace(text, r"(?U)\u00AD\s*", "")
     return (
         F.when(text_name == "Ayurvedic Pharmacopoeia of India", F.translate(letters, "".join(table), "".join(table.values())))
-        .when(text_name == "Ayurvedic Formulary of India", F.regexp_replace(text, r"(?<=[0-9])(\s*)£", "$1g"))
-        .when(text_name.isin("Charaka Samhita", "Sushruta Samhita", "Ashtanga Hridaya"),
-              F.regexp_replace(F.regexp_replace(text, "­ ?", ""), r"(?U)(?<=[^\W\d_])£|£(?=[^\W\d_])", "ā"))
+        .when(text_name == "Ayurvedic Formulary of India", F.regexp_replace(text, r"(?U)(?<=\d)(\s*)£", "$1g"))
+        .when(text_name.isin("Sushruta Samhita", "Ashtanga Hridaya"), F.regexp_replace(joined, "(?<=[A-Za-z])£|£(?=[a-z])", "ā"))
         .otherwise(text)
     )
 
 
+def title_case(c: Column) -> Column:
+    """Words all in capitals get one capital, one after a bracket too; minor words but the first are in lower case."""
+    minor = ("and", "of", "the", "in", "for", "with")
+    capital = lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 2**31 - 1)))
+    shouted = lambda w: (w == F.upper(w)) & (w != F.lower(w))
+    one = lambda w: F.when(shouted(w) & F.startswith(w, F.lit("(")), F.concat(F.lit("("), capital(F.substring(w, 2, 2**31 - 1)))).when(shouted(w), capital(w)).otherwise(w)
+    words = F.filter(F.split(strip(c), r"(?U)\s+"), lambda w: w != "")
+    return F.array_join(F.transform(words, lambda w, i: F.when((i > 0) & F.lower(w).isin(*minor), F.lower(w)).otherwise(one(w))), " ")
+
+
+def letter_runs(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit("[A-Za-z]+"), F.lit(0))
+
+
 def content_words(text: Column, stop: tuple[str, ...]) -> Column:
     return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0)), lambda w: (F.length(w) > 2) & ~w.isin(*stop)))
 

@@ -12,6 +12,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from lodestrata.functions import text as T
 
@@ -46,6 +47,12 @@ def html_text(content: bytes) -> str:
     return "\n".join(parser.found)
 
 
+@F.pandas_udf(StringType())
+def page_text(pages: pd.Series) -> pd.Series:
+    """html_text of a column of pages; null stays null."""
+    return pages.map(lambda p: None if p is None else html_text(p.encode()))
+
+
 def docx_text(content: bytes) -> str:
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         tree = ElementTree.fromstring(z.read("word/document.xml"))

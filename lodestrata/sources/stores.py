@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -19,6 +19,18 @@ def latest_wins(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return both.withColumn("_no", F.row_number().over(order)).where("_no = 1").select(*columns)
 
 
+def latest_by(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """Of each key the row that is last in order; of equals the largest. Columns come as key, order, the others."""
+    rest = [c for c in rows.columns if c != key and c not in order]
+    best = rows.groupBy(key).agg(F.max(F.struct(*order, *rest)).alias("_m"))
+    return best.select(key, "_m.*")
+
+
+def absent(rows: DataFrame, known: DataFrame, key: str) -> DataFrame:
+    """The rows whose key isn't known."""
+    return rows.join(known.select(key).distinct(), key, "left_anti")
+
+
 class Store:
     """A table in a folder. Each version is written whole beside the last; a pointer file says which one counts."""
 
@@ -52,17 +64,54 @@ class Store:
     def upsert(self, new: DataFrame, key: str) -> int:
         return self.write(latest_wins(self.read(), new, key) if self.exists() else new.dropDuplicates([key]))
 
+    def ensure(self, schema: str) -> Store:
+        """The store, made empty with that schema if it isn't there."""
+        if not self.exists():
+            self.write(self.spark.createDataFrame([], schema))
+        return self
+
+    def count(self) -> int:
+        return self.read().count() if self.exists() else 0
+
+    def promote(self, to: Store, at_least: int = 1) -> int:
+        """Copies this version into another store, whose earlier ones stay beside it."""
+        return to.write(self.read(), at_least)
+
     def missing(self, rows: DataFrame, key: str) -> DataFrame:
         """The rows whose key isn't there yet."""
-        return rows.join(self.read().select(key).distinct(), key, "left_anti") if self.exists() else rows
+        return absent(rows, self.read(), key) if self.exists() else rows
 
     def delete_source(self, source: str) -> int:
         return self.write(self.read().where(~F.col("source").eqNullSafe(F.lit(source))))
 
 
 def vector_rows(chunks: DataFrame) -> DataFrame:
-    """Chunks that have a vector, with their text cut to what the store takes."""
-    return chunks.where("embedding is not null").withColumn("text", F.substring("text", 1, MAX_STORED_TEXT))
+    """id, vector, metadata of the chunks that have a vector; metadata has their text, cut to what the store takes, and their parent."""
+    cut = {"text": F.substring("text", 1, MAX_STORED_TEXT)} if "text" in chunks.columns else {}
+    kept = chunks.where("embedding is not null and size(embedding) > 0").withColumns(cut)
+    return kept.select(F.col("chunk_id").alias("id"), F.col("embedding").alias("vector"), stored_metadata(kept, [c for c in kept.columns if c not in ("chunk_id", "embedding")]).alias("metadata"))
+
+
+def stored_metadata(df: DataFrame, columns: list[str]) -> Column:
+    """JSON of numbers, strings, booleans and lists of strings: nulls go, in lists too, and everything else is text."""
+    simple = ("string", "boolean", "tinyint", "smallint", "int", "bigint", "float", "double")
+
+    def value(name: str, kind: str) -> Column:
+        c = F.col(f"`{name}`")
+        if kind.startswith("array<"):
+            inner = (lambda x: x.cast("string")) if kind[6:-1] in simple else F.to_json
+            return F.transform(F.filter(c, lambda x: x.isNotNull()), inner).alias(name)
+        if kind.startswith(("struct<", "map<")):
+            return F.to_json(c).alias(name)
+        return (c if kind in simple else c.cast("string")).alias(name)
+
+    kinds = dict(df.dtypes)
+    return F.to_json(F.struct(*[value(c, kinds[c]) for c in columns]))
+
+
+def latest_parents(children: DataFrame) -> DataFrame:
+    """chunk_id of the parents that children name."""
+    return children.where("parent_id is not null").select(F.col("parent_id").alias("chunk_id")).distinct()
 
 
 def write_trace(run: DataFrame, questions: DataFrame, path: str) -> None:

@@ -81,21 +81,3 @@ def test_stream(spark, tmp_path):
         stream_chunks(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/store", f"file://{tmp_path}/check").awaitTermination(120)
     got = stores.Store(spark, f"file://{tmp_path}/store").read()
     assert got.count() == got.select("chunk_id").distinct().count() > 3
-
-
-def test_queries_that_have_sql(spark, sf):
-    import duckdb
-
-    db = duckdb.connect()
-    for name in ("documents", "embeddings", "pages", "benchmark", "labels", "conversations", "events"):
-        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{sf}/{name}.parquet'")
-    sql = __spark_entry__.oracle_sql()
-    assert set(sql) <= set(__spark_entry__.queries())
-    for name, query in __spark_entry__.queries().items():
-        if name in sql and not name.startswith("op"):
-            got = query(spark, sf)
-            want = db.execute(sql[name])
-            columns = [c[0] for c in want.description]
-            assert sorted(got.columns) == sorted(columns), name
-            rows = got.select(*[F.col(f"`{c}`") for c in columns]).collect()
-            assert len(rows) == len(want.fetchall()), name
