@@ -13,6 +13,7 @@ from lodestrata.functions.text import sanitize_id, work_key
 from lodestrata.operators import context, evaluation, providers, retrieval
 from lodestrata.session import saved
 from lodestrata.sources import evaluation as sources
+from lodestrata.sources.stores import Store
 
 # Fixed values that results depend on: how deep each list is, and which list each pipeline is scored by.
 DEPTH, RERANKED, CHOSEN = 50, 15, 6
@@ -33,6 +34,18 @@ class Engine:
     tokenize: retrieval.Tokenizer | None = None
 
 
+def open_engine(spark: SparkSession, out: str, model: object | None = None, model_name: str = "model", tokenize: retrieval.Tokenizer | None = None) -> Engine:
+    """What plans.ingest.run_ingestion left in out. With a model, chunks are embedded, each once for all time."""
+    children, parents = (Store(spark, f"{out}/{n}").read() for n in ("children", "parents"))
+    nothing = {c: F.lit(None).cast(t) for c, t in (("heading_path", "array<string>"), ("context_header", "string"), ("citation", "string"), ("sthana", "string"), ("embedding", "array<double>"))
+               if c not in children.columns}
+    chunks = children.withColumnRenamed("chunk_id", "id").withColumns(nothing)
+    if model is not None:
+        text = providers.contextual_text(F.col("text"), F.col("context_header"))
+        chunks = providers.embed(chunks.drop("embedding"), text, model, model_name, cache=Store(spark, f"{out}/vectors"))
+    return Engine(retrieval.Index.load(spark, f"{out}/index"), chunks, context.parent_store(parents), model, model_name, tokenize)
+
+
 @dataclass
 class Retrieved:
     """lists: qid, stage, rank from 1, id, score, retrievers; skipped: qid; hypothetical: qid, passage."""

@@ -23,7 +23,17 @@ def get_session(app: str = "lodestrata", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Whole texts travel to Python in batches of four megabytes, not of ten thousand rows. A size the session was given stays."""
+    if spark.conf.get(BATCH_BYTES) == "67108864b":  # Spark's own
+        spark.conf.set(BATCH_BYTES, "4m")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -32,6 +42,7 @@ def shared_dir(spark: SparkSession) -> str:
 
     Where it is unset, a single-machine session gets a temporary folder of its own; a cluster has to name one.
     """
+    bounded_batches(spark)
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
         master = spark.sparkContext.master

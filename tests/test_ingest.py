@@ -81,3 +81,31 @@ def test_stream(spark, tmp_path):
         stream_chunks(spark, f"file://{tmp_path}/in", f"file://{tmp_path}/store", f"file://{tmp_path}/check").awaitTermination(120)
     got = stores.Store(spark, f"file://{tmp_path}/store").read()
     assert got.count() == got.select("chunk_id").distinct().count() > 3
+
+
+def test_command_line(spark, folder, tmp_path):
+    from lodestrata.__main__ import main, run
+
+    out = f"file://{tmp_path}/out"
+    assert "| clinical | " in run(spark, ["catalog", folder])
+    assert "| a.txt |" in run(spark, ["ingest", folder, out, "--dry-run"])
+    counts = json.loads(run(spark, ["ingest", folder, out]))
+    assert counts["children"] == counts["indexed"] > 3 and counts["terms"] > 5
+    said = run(spark, ["search", out, "kept", "unheard"])
+    assert "Document: b.HTML" in said and "Seen & kept in the text" in said and said.rstrip().endswith("Nothing found.")
+    (tmp_path / "set.json").write_text(json.dumps([{"id": "q1", "question": "seen and kept", "gold_works": ["b.HTML"], "gold_passages": ["b_HTML_P0"]}, {"id": "q2", "question": "nowhere", "gold_works": ["x"]}]))
+    got = json.loads(run(spark, ["evaluate", out, str(tmp_path / "set.json"), "--results", f"{tmp_path}/runs"]))
+    assert got["status"] == "VALID" and got["n_questions"] == 2 and got["recall"] == 0.5 and got["passage_recall"] == 1.0
+    said = run(spark, ["rescore", f"{tmp_path}/runs", "--labels", str(tmp_path / "set.json"), "--per-question"])
+    assert "| rrf | 0.500 |" in said and "| q1 | 1 |" in said
+    with pytest.raises(SystemExit):
+        main(["ingest"])
+
+
+def test_folder_rules(spark, folder):
+    listed = files.list_files(spark, folder)
+    assert {r.doc_type: r.files for r in files.catalog(listed).collect()} == {"clinical": 6, "classical_text": 1}
+    two = files.first_files(files.records_of(listed), 2)
+    assert {r.source for r in two.collect()} == {"a.txt", "b.HTML"}
+    names = spark.createDataFrame([("Charaka_1.pdf",), ("ashtanga_hridaya_srikantha_murthy_2.pdf",), ("Ashtanga_Hridaya_sanskrit_commentaries.txt",), ("sushruta.pdf",)], "s string")
+    assert [r[0] for r in names.select(files.excluded_reason(F.col("s"))).collect()] == ["exclude_charaka", "exclude_ah_srikantha_murthy", "exclude_ah_sanskrit_commentaries", None]
