@@ -7,7 +7,7 @@ the raw corpus, so that a bucket without evidence weighs nothing. A document's s
 n-grams; it is kept if that reaches min_score and the base rules hold. Weights are whole millionths, so sums are exact
 in any order. Everything is DataFrame expressions; only the n_buckets weights pass through the driver.
 
-A window of eight words is known by a 64-bit hash of its word hashes.
+A window of eight words is known by a 64-bit hash: pairs of word hashes are hashed, then pairs of pairs, then pairs of those.
 
 Edge cases: a null text has no words, fails the base rule (under 20 words) and isn't kept; without labels or trusted
 documents all ratios are 0, so the base rules decide; a label row repeated counts once; rows that repeat an id are
@@ -21,14 +21,13 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestrata.llm.words import words
+from lodestrata.llm.words import WORD, words
 from lodestrata.session import table
 
 N_BUCKETS = 8192
 MIN_SCORE = -0.05
 SPAN = 8
 MICRO = 1_000_000
-POS_BITS = 24
 
 
 def let(value: Column, body) -> Column:
@@ -40,46 +39,35 @@ def word_hashes(w: Column) -> Column:
     return F.transform(w, lambda x: F.xxhash64(x))
 
 
-def gram_buckets(hashes: Column, n_buckets: int) -> Column:
-    """Buckets of the words, then of the pairs. hashes has to be a column or lambda variable."""
-    pairs = F.when(F.size(hashes) < 2, F.array().cast("array<int>")).otherwise(
-        F.transform(F.slice(hashes, 2, F.greatest(F.size(hashes) - 1, F.lit(0))),
-                    lambda x, i: F.pmod(F.xxhash64(F.get(hashes, i), x), F.lit(n_buckets)).cast("int")))
-    return F.concat(F.transform(hashes, lambda x: F.pmod(x, F.lit(n_buckets)).cast("int")), pairs)
+def doubled(hashes: Column, step: int) -> Column:
+    """Hashes of the pairs of hashes that stand step places apart, one for each place that has such a partner."""
+    return F.when(F.size(hashes) <= step, F.array().cast("array<bigint>")).otherwise(
+        F.transform(F.slice(hashes, step + 1, F.greatest(F.size(hashes) - step, F.lit(0))), lambda x, i: F.xxhash64(F.get(hashes, i), x)))
 
 
-def repeat_words(hashes: Column, span: int = SPAN) -> Column:
+def repeat_words(windows: Column, span: int = SPAN) -> Column:
     """Words inside windows of span words that the text has twice or more."""
-    mask = F.lit((1 << POS_BITS) - 1).cast("long")
-
-    def covered(windows: Column) -> Column:
-        def flagged(packed: Column) -> Column:
-            window = lambda x: F.get(windows, x.bitwiseAND(mask).cast("int"))
-            twice = F.filter(packed, lambda x, i: (window(x) == window(F.get(packed, i - 1))) | (window(x) == window(F.get(packed, i + 1))))
-            places = F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(mask)))
-            total = F.aggregate(
-                places, F.struct(F.lit(0).cast("long").alias("n"), F.lit(-span).cast("long").alias("last")),
-                lambda acc, p: F.struct((acc["n"] + F.least(F.lit(span).cast("long"), p - acc["last"])).alias("n"), p.alias("last")))
-            return total["n"]
-
-        packed = F.sort_array(F.transform(windows, lambda h, i: F.shiftleft(h, POS_BITS).bitwiseOR(i.cast("long"))))
-        return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0).cast("long")).otherwise(let(packed, flagged))
-
-    windows = F.transform(F.sequence(F.lit(1), F.size(hashes) - span + 1), lambda i: F.xxhash64(F.slice(hashes, i, span)))
-    return F.when(F.size(hashes) < span + 1, F.lit(0).cast("long")).otherwise(let(windows, covered))
-
-
-def base_counts(text: Column, w: Column, hashes: Column) -> dict[str, Column]:
-    blank = " \t\n\x0b\x0c\r"
-    none = F.lit("")
-    bare = lambda x, chars: F.translate(x, chars, "")
-    lines = F.filter(F.split(text, "\n", -1), lambda x: bare(x, blank) != none)
+    def flagged(placed: Column) -> Column:
+        same = lambda x, y: F.coalesce(x["h"] == y["h"], F.lit(False))
+        twice = F.filter(placed, lambda x, i: same(x, F.get(placed, i - 1)) | same(x, F.get(placed, i + 1)))
+        places = F.sort_array(F.transform(twice, lambda x: x["at"]))
+        total = F.aggregate(
+            places, F.struct(F.lit(0).cast("long").alias("n"), F.lit(-span).cast("long").alias("last")),
+            lambda acc, p: F.struct((acc["n"] + F.least(F.lit(span).cast("long"), p - acc["last"])).alias("n"), p.alias("last")))
+        return total["n"]
+
+    placed = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.cast("long").alias("at"))))
+    return F.when(F.size(F.array_distinct(windows)) == F.size(windows), F.lit(0).cast("long")).otherwise(let(placed, flagged))
+
+
+def base_counts(text: Column, w: Column, windows: Column) -> dict[str, Column]:
+    lines = F.filter(F.split(text, "\n", -1), lambda x: F.regexp_like(x, F.lit(WORD)))
     return {
         "n_words": F.size(w).cast("long"),
-        "word_chars": F.length(bare(text, blank)).cast("long"),
-        "n_symbols": (F.length(text) - F.length(bare(text, "#*$%&|<>"))).cast("long"),
+        "word_chars": F.length(F.array_join(w, "")).cast("long"),
+        "n_symbols": F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long"),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "n_repeat_words": repeat_words(hashes),
+        "n_repeat_words": repeat_words(windows),
     }
 
 
@@ -95,9 +83,9 @@ def bucket_weights(docs: DataFrame, labels: DataFrame, n_buckets: int = N_BUCKET
     ids = trusted_ids(labels, max_target)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     joined = slim.join(ids, F.col("id") == F.col("t_id"), "left")  # texts are smaller than their hashes where they're shuffled
-    marked = joined.select("t_id", word_hashes(words(F.col("text"))).alias("h"))
-    grams = marked.select(F.col("t_id").isNotNull().cast("long").alias("t"), F.explode(let(F.col("h"), lambda h: gram_buckets(h, n_buckets))).alias("b"))
-    rows = grams.groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target")).collect()  # n_buckets rows at most
+    both = let(word_hashes(words(F.col("text"))), lambda h: F.concat(h, doubled(h, 1)))
+    grams = joined.select(F.col("t_id").isNotNull().cast("long").alias("t"), F.explode(both).alias("h"))
+    rows = grams.select("t", F.pmod("h", F.lit(n_buckets)).cast("int").alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target")).collect()  # n_buckets rows at most
     return weights_of({r["b"]: (r["raw"], r["target"]) for r in rows}, n_buckets)
 
 
@@ -110,23 +98,42 @@ def weights_of(counts: dict[int, tuple[int, int]], n_buckets: int) -> list[int]:
     return out
 
 
-def with_verdict(docs: DataFrame, weights: list[int], min_score: float = MIN_SCORE, text_col: str = "text") -> DataFrame:
-    """docs with a column verdict: the base counts, base_failed, score and kept."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+def verdict_of(text: Column, weights: list[int], min_score: float = MIN_SCORE) -> Column:
+    """A struct of the base counts, base_failed, score and kept. Words and hashes are found once a row."""
     table_of = F.split(F.lit(",".join(map(str, weights))), ",").cast("array<long>")  # folded into a literal
-    total = F.aggregate(
-        let(F.col("_h"), lambda h: gram_buckets(h, len(weights))), F.lit(0).cast("long"), lambda acc, b: acc + F.get(table_of, b))
-    n_grams = F.greatest(2 * F.size("_h") - 1, F.lit(0))
-    counted = (
-        docs.withColumn("_w", words(text)).withColumn("_h", word_hashes(F.col("_w")))
-        .withColumn("_base", F.struct(*[c.alias(k) for k, c in base_counts(text, F.col("_w"), F.col("_h")).items()]))
-        .withColumn("_score", F.when(n_grams > 0, total.cast("double") / n_grams / MICRO).otherwise(0.0))
-    )
-    base = F.col("_base")
-    failed = (base["n_words"] < 20) | (100 * base["n_repeat_words"] > 30 * base["n_words"])
-    verdict = F.struct(*[base[k].alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
-                       failed.alias("base_failed"), F.col("_score").alias("score"), (~failed & (F.col("_score") >= min_score)).alias("kept"))
-    return counted.withColumn("_verdict", verdict).drop("_w", "_h", "_base", "_score")
+    zero = F.lit(0).cast("long")
+
+    def scored(w: Column, h: Column, pairs: Column) -> Column:
+        weight = lambda acc, x: acc + F.get(table_of, F.pmod(x, F.lit(len(weights))).cast("int"))
+        total = F.aggregate(pairs, F.aggregate(h, zero, weight), weight)
+        n_grams = F.size(h) + F.size(pairs)
+        score = F.when(n_grams > 0, total.cast("double") / n_grams / MICRO).otherwise(0.0)
+        windows = let(doubled(pairs, 2), lambda four: doubled(four, 4))
+        return let(windows, lambda eight: F.struct(*[c.alias(k) for k, c in base_counts(text, w, eight).items()], score.alias("score")))
+
+    def judged(x: Column) -> Column:
+        failed = (x["n_words"] < 20) | (100 * x["n_repeat_words"] > 30 * x["n_words"])
+        counts = [x[k].alias(k) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+        return F.struct(*counts, failed.alias("base_failed"), x["score"].alias("score"), (~failed & (x["score"] >= min_score)).alias("kept"))
+
+    return let(words(text), lambda w: let(word_hashes(w), lambda h: let(let(doubled(h, 1), lambda pairs: scored(w, h, pairs)), judged)))
+
+
+def with_verdict(docs: DataFrame, weights: list[int], min_score: float = MIN_SCORE, text_col: str = "text", name: str = "_verdict") -> DataFrame:
+    """docs with a struct column: the base counts, base_failed, score and kept.
+
+    A generator gives it: no filter is pushed below one, so what reads the verdict never evaluates it again.
+    """
+    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    return docs.select("*", F.explode_outer(F.array(verdict_of(text, weights, min_score))).alias(name))
+
+
+def free_name(columns: list[str], name: str) -> str:
+    """name, with as many underscores before it as no column has."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, min_score: float = MIN_SCORE, **kwargs) -> DataFrame:
@@ -138,7 +145,8 @@ def score_documents(docs: DataFrame, labels: DataFrame, min_score: float = MIN_S
 def keep_good(docs: DataFrame, labels: DataFrame, min_score: float = MIN_SCORE, **kwargs) -> DataFrame:
     """The rows of docs that are kept, as they are."""
     weights = bucket_weights(docs, labels, **kwargs)
-    return with_verdict(docs, weights, min_score).where("_verdict.kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = free_name(docs.columns, "_verdict")
+    return with_verdict(docs, weights, min_score, name=name).where(F.col(f"`{name}`.kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op4_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:

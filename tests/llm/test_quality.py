@@ -1,5 +1,6 @@
 import math
 import re
+import time
 from collections import Counter
 
 import xxhash
@@ -86,3 +87,25 @@ def test_all_trusted_ids(spark):
     labels = spark.range(20_500).selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic")
     assert quality.trusted_ids(labels).count() == 20_500
     assert quality.trusted_ids(labels, 7).count() == 7
+
+
+def test_clashing_columns(spark):
+    a = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, a, "x", 2, "v", "k", 1.5), (1, a, "x", 2, "v", "k", 1.5), (2, None, None, None, None, None, None), (None, a + " b", "", 0, "", "", 0.0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _w string, _h int, _verdict string, kept string, `a.b` double")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    kept = quality.keep_good(docs, labels)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted((r for r in rows if r[1]), key=str)
+
+
+def test_filter_evaluates_the_verdict_once(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    plan = quality.keep_good(docs, labels)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(quality.WORD + ", 0") == 1
+    took = []
+    for run in (quality.score_documents, quality.keep_good, quality.score_documents, quality.keep_good):
+        began = time.time()
+        run(docs, labels).write.format("noop").mode("overwrite").save()
+        took.append(time.time() - began)
+    assert took[3] < 2 * took[2] + 1
