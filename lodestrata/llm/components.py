@@ -2,20 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestrata.session import shared_dir
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: lineage ends here, and any executor may be lost."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+from lodestrata.session import discard, saved
 
 
 def release(df: DataFrame) -> None:
@@ -38,7 +28,8 @@ def connected(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(down.hint("merge"), "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").unionByName(down.select("u", F.col("m").alias("v"))).distinct()
-        edges = saved(small, "edges")
+        last, edges = edges, saved(small, "edges")
+        discard(last)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break

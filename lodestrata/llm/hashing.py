@@ -6,9 +6,11 @@ random odd numbers, mixed. Both are functions of the content alone, alike on eve
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 U = np.uint64
 _RNG = np.random.default_rng(20240229)
@@ -95,3 +97,12 @@ def split_words(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.n
     data, offsets = joined(texts)
     starts, ends = word_spans(data)
     return data, starts, ends, span_hashes(data, starts, ends), np.searchsorted(starts, offsets)
+
+
+def trimmed() -> None:
+    """Gives memory that is free back to the system, since Python workers live on beside the executor."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

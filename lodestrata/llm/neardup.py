@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm.components import connected, release, saved
-from lodestrata.llm.hashing import COEFFICIENTS, U, batches_of, mix, split_words, window_hashes
+from lodestrata.llm.hashing import COEFFICIENTS, U, batches_of, mix, split_words, trimmed, window_hashes
 from lodestrata.llm.words import n_words
 from lodestrata.session import table
 
@@ -128,6 +128,7 @@ def _describe(k: int):
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0).slice(lo, hi - lo), pa.array([len(s) for s in sets], pa.int64()), pa.array(prints, pa.binary()),
                     pa.array(bands, pa.list_(pa.int64())), pa.array(signatures, pa.binary())], ["doc_id", "n_shingles", "print", "bands", "signature"])
+        trimmed()
 
     return run
 
@@ -251,7 +252,9 @@ def _tile_links(k: int, percent: int):
                 found[inside] = 100 * n >= percent * (sizes[i] + sizes[j] - n)
             return found
 
-        return _edge_table(forest(near, comps, None if t["tile_a"][0] == t["tile_b"][0] else parts), ids)
+        edges = _edge_table(forest(near, comps, None if t["tile_a"][0] == t["tile_b"][0] else parts), ids)
+        trimmed()
+        return edges
 
     return run
 
@@ -342,11 +345,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs whose document is the first of its component; of rows that repeat an id, one stays."""
-    found = near_duplicates(docs, k=k, percent=percent).where("kept").select(F.col("doc_id").alias("k_id")).distinct()
-    left = docs.join(found.hint("merge"), docs["doc_id"].cast("long").eqNullSafe(F.col("k_id")))
-    nameless = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id()).otherwise(-1)
-    return left.drop("k_id").withColumn("_row", nameless).dropDuplicates(["doc_id", "_row"]).drop("_row")
+    """The rows of docs whose document is the first of its component, as they are.
+
+    Rows that share an id and a text are copies, of which one stays (that with the least hash of all its columns); rows
+    that share an id with different texts are versions of one document and stay or go together; rows without an id stay.
+    """
+    found = near_duplicates(docs, k=k, percent=percent).where("kept and doc_id is not null").select(F.col("doc_id").alias("_k")).distinct()
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    named = row.where("row.doc_id is not null").join(found.hint("merge"), F.col("row.doc_id").cast("long") == F.col("_k"))
+    one = named.groupBy("_k", F.xxhash64("row.text").alias("_t"), F.md5("row.text").alias("_m")).agg(
+        F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return one.select("row").unionByName(row.where("row.doc_id is null")).select("row.*")
 
 
 def op6_bbit_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

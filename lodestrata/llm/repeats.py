@@ -16,6 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodestrata.llm.hashing import trimmed
+from lodestrata.session import bounded_batches
+
 U = np.uint64
 CHUNK_BYTES = 4 << 20
 NO_ID = np.iinfo(np.int64).max
@@ -34,12 +37,13 @@ class Chunks:
 
 def chunks_of(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CHUNK_BYTES, keep: tuple[str, ...] = ()) -> Chunks:
     """keep: columns of docs that travel along, as x0, x1 and so on."""
+    bounded_batches(docs.sparkSession)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                        *[F.col(f"`{c}`").alias(f"x{i}") for i, c in enumerate(keep)])
     total = slim.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = max(1, math.ceil(total / chunk_bytes))
     partitions = max(1, min(n, max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / (32 << 20)))))
-    chunk = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(-1))), F.lit(n)).cast("int")
+    chunk = F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id")), F.lit(n)).cast("int")  # rows without an id spread by text
     return Chunks(slim.select(chunk.alias("chunk"), *slim.columns).repartition(partitions, "chunk"), total)
 
 
@@ -59,11 +63,11 @@ def chunk_from(t: pa.Table) -> Chunk:
 
 
 def by_part(part: np.ndarray, n_parts: int) -> Iterator[tuple[int, np.ndarray]]:
-    """For each part that has members: its number and the members' indexes in ascending order."""
+    """For each part that has members: its number and the members' indexes in ascending order. Takes no time for parts that have none."""
     order = np.argsort(part.astype(np.uint16) if n_parts <= 65536 else part, kind="stable")
-    edges = np.searchsorted(part[order], np.arange(n_parts + 1))
-    for p in np.flatnonzero(np.diff(edges)):
-        yield int(p), order[edges[p] : edges[p + 1]]
+    if len(order):
+        for members in np.split(order, np.flatnonzero(np.diff(part[order])) + 1):
+            yield int(part[members[0]]), members
 
 
 def places(at: np.ndarray) -> bytes:
@@ -78,7 +82,9 @@ def places_from(data: bytes) -> np.ndarray:
 
 def grouped(df: DataFrame, key: str, run: Callable[[pa.Table], Iterator[dict] | list[dict]], schema: pa.Schema, ddl: str) -> DataFrame:
     def go(t: pa.Table) -> pa.Table:
-        return pa.Table.from_pylist(list(run(t)), schema=schema)
+        out = pa.Table.from_pylist(list(run(t)), schema=schema)
+        trimmed()
+        return out
 
     return df.groupBy(key).applyInArrow(go, ddl)
 

@@ -91,3 +91,37 @@ def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     got = dict(map(tuple, components.connected(links).collect()))
     assert got == {**{i: 0 for i in range(51)}, 100: 100, 101: 100}
+
+
+def bridged(groups=60):
+    """In each group two originals, edited copies of both, and one pair across of similarity 0.8 that alone joins them."""
+    rng = random.Random(3)
+    rows = []
+    for g in range(groups):
+        left = [f"g{g}a{i}" for i in range(203)]
+        right = left[:160] + [f"g{g}b{i}" for i in range(43)]
+        edit = lambda w, n: [f"{x}e{rng.randrange(10**6)}" if j in set(at) else x for at in [rng.sample(range(3, 200), n)] for j, x in enumerate(w)]
+        texts = [left, right] + [edit(left, 2) for _ in range(12)] + [edit(right, 2) for _ in range(12)]
+        bridge = left[:180] + [f"g{g}c{i}" for i in range(2)]
+        texts += [bridge, bridge[:161] + right[161:182]]
+        rng.shuffle(texts)
+        rows += [(100 * g + i, " ".join(t)) for i, t in enumerate(texts)]
+    return rows
+
+
+def test_bridges_between_families(spark):
+    rows = bridged()
+    assert run(spark, rows) == brute(rows)
+
+
+def test_keep_first(spark):
+    t = " ".join(f"w{i}" for i in range(40))
+    rows = [(5, t, 1, "a"), (5, t, 1, "a"), (5, t, 1, "b"), (7, t + " x", 2, "c"), (8, "other words here entirely and more", 3, "d"), (8, "a second text of that id, unlike it", 3, "e"),
+            (None, t, 4, "f"), (None, t, 4, "f"), (9, None, 5, None), (10, "", 6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, k_id int, _row string")
+    got = neardup.keep_first(docs)
+    assert got.columns == docs.columns
+    got = sorted(map(tuple, got.collect()), key=str)
+    assert [r[0] for r in got] == sorted([10, 5, 8, 8, 9, None, None], key=str) and len(got) == 7
+    assert sorted(got, key=str) == sorted(map(tuple, neardup.keep_first(docs).collect()), key=str)
+    assert neardup.keep_first(docs.limit(0)).collect() == []

@@ -46,3 +46,10 @@ def test_small_alphabet_and_edges(spark):
     rng.shuffle(rows)
     assert run(spark, rows, chunk_bytes=2000) == brute(rows)
     assert run(spark, []) == []
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(7)
+    words = [f"v{rng.randrange(3000)}" for _ in range(120_000)]
+    rows = [(1, " ".join(words)), (2, " ".join(words[50_000:50_200])), (3, " ".join(words[:20] + ["x"] + words[90_000:]))]
+    assert run(spark, rows) == brute(rows)

@@ -61,7 +61,20 @@ def test_suffix_array_and_intervals():
             a, b = suffixes[i - 1], suffixes[i]
             n = next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
             assert common[i] == n
-        got = {suffixes[lo][:n]: set(zip(owner[lo:hi].tolist(), place[lo:hi].tolist())) for lo, hi, n in suffixarray.maximal_repeats(common, left, least)}
+        repeats = list(suffixarray.maximal_repeats(common, left, least, owner * 100 + place))
+        got = {suffixes[lo][:n]: set(zip(owner[lo:hi].tolist(), place[lo:hi].tolist())) for lo, hi, n, _ in repeats}
+        seen, gone = set(), [set() for _ in segments]
+        for i, s in enumerate(segments):
+            for j in range(len(s) - least + 1):
+                if s[j : j + least] in seen:
+                    gone[i] |= set(range(j, j + least))
+                seen.add(s[j : j + least])
+        later = [(j, n) for _, _, n, ones in repeats for j in ones]
+        assert len({j for j, _ in later}) == len(later)  # each occurrence is decided once
+        mine = [set() for _ in segments]
+        for j, n in later:
+            mine[owner[j]] |= set(range(place[j], place[j] + n))
+        assert mine == gone
         want = {}
         for i, s in enumerate(segments):
             for j in range(len(s)):
@@ -76,3 +89,52 @@ def test_suffix_array_and_intervals():
             if (len(lefts) > 1 or any(j == 0 for _, j in occ)) and (len(rights) > 1 or any(j + len(w) == len(segments[i]) for i, j in occ)):
                 maximal[w] = occ
         assert got == maximal, (segments, least)
+
+
+def test_groups_have_all_occurrences(spark):
+    rng = random.Random(4)
+    say = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    x, y = say(120), say(130)
+    rows = [(3, say(30) + x + say(20)), (1, x), (7, say(10) + y + x), (9, y + say(200)), (12, say(300)), (None, y), (15, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("group", F.lit(1))
+    groups = {}
+    for r in suffixarray.repeat_groups(docs, chunk_bytes=300).collect():
+        groups.setdefault((r.group, r.length), []).append((r.doc_id, r.start, r.is_first))
+    text = {d: (t or "").encode() for d, t in rows}
+    for (_, length), places in groups.items():
+        assert len({text[d][a : a + length] for d, a, _ in places}) == 1 and length >= 100
+        word = text[places[0][0]][places[0][1] : places[0][1] + length]
+        assert sum(t.count(word) for t in text.values()) == len(places)
+        order = sorted(places, key=lambda p: (p[0] is None, p[0] or 0, p[1]))
+        assert [f for _, _, f in order] == [True] + [False] * (len(order) - 1)
+    windows = {}
+    for d, t in text.items():
+        for i in range(len(t) - 99):
+            windows.setdefault(t[i : i + 100], []).append((d, i))
+    held = {length: [{(d, a) for d, a, _ in g} for (_, n), g in groups.items() if n == length] for _, length in groups}
+    for spots in windows.values():  # each repeated window lies in a group that has all its occurrences
+        if len(spots) > 1:
+            assert any({(d, i - s) for d, i in spots} == g for n, gs in held.items() for s in range(n - 99) for g in gs)
+    assert suffixarray.repeat_groups(docs.limit(0)).count() == 0
+
+
+def test_many_rows_without_an_id(spark):
+    rng = random.Random(9)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(400))
+    rows = [(None, base[i * 7 :][:250]) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = b"".join(bytes(r.kept) for r in suffixarray.without_repeats(docs, chunk_bytes=500).collect())
+    windows = {base[i : i + 100] for r in rows for i in [base.index(r[1])]}
+    assert len(kept) < 800 and windows
+
+
+def test_a_very_long_text(spark, monkeypatch):
+    rng = random.Random(2)
+    text = "".join(rng.choice("abcdefghijklmnop ") for _ in range(300_000))
+    rows = [(1, text), (2, text[150_000:150_400]), (3, "x" + text[290_000:])]
+    check(spark, rows)
+    texts = [t.encode() for _, t in rows]
+    whole = suffixarray.runs_of(texts, 100, 50)
+    monkeypatch.setattr(suffixarray, "PIECE", 1000)
+    again = suffixarray.runs_of(texts, 100, 50)
+    assert all((a == b).all() for a, b in zip(whole[1:], again[1:]))  # pieces change nothing
