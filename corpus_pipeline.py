@@ -36,8 +36,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in bins of 2,048 words."""
-    return packing.pack(docs)
+    """Pieces of documents in bins of 2,048 words; what the mix took of one document never shares a bin."""
+    return packing.pack(docs, cluster_col="doc_id")
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestrata.llm.words import words
-from lodestrata.session import table
+from lodestrata.session import saved, table
 
 CAPACITY = 2048
 MAX_PER_SOURCE = 2
@@ -79,27 +79,34 @@ def best_fit(sizes: list[int], sources: list[int], clusters: list[int], capacity
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster_col: str | None = None,
          capacity: int = CAPACITY, max_per_source: int = MAX_PER_SOURCE, group_pieces: int = GROUP_PIECES) -> DataFrame:
-    """doc_id, piece, start, n_words, source, bin_id, bin_words: one row a piece; bins hold capacity words at most."""
-    groups = max(1, math.ceil(docs.count() / group_pieces))
-    w = words(F.col(text_col).cast("string"))
-    cluster = F.md5(F.lower(F.array_join(w, " "))) if cluster_col is None else F.col(cluster_col).cast("string")
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"),
-                        F.size(w).cast("long").alias("size"), cluster.alias("cluster"))
+    """doc_id, piece, start, n_words, source, bin_id, bin_words: one row a piece; bins hold capacity words at most.
+
+    cluster_col: what mustn't share a bin; where it is null, or not given, the text decides. Reruns give the same bins.
+    """
+    w = words(F.col(f"`{text_col}`").cast("string"))
+    same = F.md5(F.lower(F.array_join(w, " ")))
+    cluster = same if cluster_col is None else F.coalesce(F.col(f"`{cluster_col}`").cast("string"), same)
+    described = saved(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"),
+                                  F.size(w).cast("long").alias("size"), cluster.alias("cluster")), "sizes")
+    groups = max(1, math.ceil(described.count() / group_pieces))
+    # Rows that are alike are counted, then told apart by a number, so that no group of copies meets in one task.
+    counted = described.groupBy("doc_id", "source", "size", "cluster").agg(F.count(F.lit(1)).alias("n"))
+    sized = counted.select("doc_id", "source", "size", "cluster", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
     full = F.floor(F.col("size") / capacity).cast("int")
     rest = (F.col("size") % capacity).cast("int")
     whole = sized.where(F.col("size") >= capacity).select(
-        "doc_id", F.explode(F.sequence(F.lit(0), full - 1)).alias("piece"), "source", F.lit(capacity).alias("n_words"),
+        "doc_id", F.posexplode(F.sequence(F.lit(0), full - 1)).alias("piece", "_"), "source", "cluster", "copy",
     ).select(
-        "doc_id", "piece", (F.col("piece").cast("long") * capacity).alias("start"), "n_words", "source",
-        F.concat_ws("-", F.lit("whole"), F.xxhash64("doc_id", "source").cast("string"), F.monotonically_increasing_id().cast("string")).alias("bin_id"),
-        F.col("n_words").alias("bin_words"),
+        "doc_id", "piece", (F.col("piece").cast("long") * capacity).alias("start"), F.lit(capacity).alias("n_words"), "source",
+        F.concat_ws("-", F.lit("whole"), F.md5(F.to_json(F.struct("doc_id", "source", "cluster"))), F.col("copy").cast("string"), F.col("piece").cast("string")).alias("bin_id"),
+        F.lit(capacity).alias("bin_words"),
     )
     none = sized.where("size = 0").select(
         "doc_id", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(0).alias("n_words"), "source",
         F.lit(None).cast("string").alias("bin_id"), F.lit(None).cast("int").alias("bin_words"))
     rests = sized.where(rest > 0).select(
         "doc_id", full.alias("piece"), (full.cast("long") * capacity).alias("start"), rest.alias("n_words"), "source", "cluster",
-        F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(groups)).cast("int").alias("g"))
+        F.pmod(F.xxhash64("doc_id", "cluster", "copy"), F.lit(groups)).cast("int").alias("g"))
 
     def packed(t: pa.Table) -> pa.Table:
         rows = sorted(t.to_pylist(), key=lambda r: (-r["n_words"], r["doc_id"] is None, r["doc_id"] or 0, r["piece"], r["cluster"] or "", r["source"] or ""))
@@ -122,7 +129,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
             "bin_id": pa.array([f"{rows[0]['g']}-{b}" for b in bins], pa.string()), "bin_words": pa.array([filled[b] for b in bins], pa.int32()),
         })
 
-    kind = dict(sized.dtypes)["doc_id"]
+    kind = dict(described.dtypes)["doc_id"]
     schema = f"doc_id {kind}, piece int, start long, n_words int, source string, bin_id string, bin_words int"
     return rests.groupBy("g").applyInArrow(packed, schema).unionByName(whole).unionByName(none)
 

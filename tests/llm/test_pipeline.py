@@ -1,3 +1,4 @@
+import random
 from collections import Counter, defaultdict
 
 import corpus_pipeline
@@ -50,3 +51,26 @@ def test_stages_one_by_one(spark, sf):
     for r in bins:
         room[r.bin_id] += r.n_words
     assert max(room.values()) <= 2048 and all(r.bin_words == room[r.bin_id] for r in bins)
+
+
+def test_nulls_repeats_and_empty_tables(spark, tmp_path):
+    rng = random.Random(1)
+    say = lambda n: " ".join(f"w{rng.randrange(500)}" for _ in range(n))
+    rows = [(i, say(60), "en", f"s{i % 3}", 1) for i in range(12)]
+    rows += [rows[3], rows[3], (5, say(60), None, None, None), (None, say(70), "en", None, 2), (None, say(70), None, "s1", 3), (20, None, "en", "s1", 0), (21, "", None, None, 0), (22, "x " * 30, "fr", "s2", 60)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for name, kept in (("some", rows), ("none", [])):
+        at = f"file://{tmp_path}/{name}"
+        spark.createDataFrame(kept, schema).withColumn("_verdict", F.lit(7)).write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame([(1, 1, 0), (2, 0, None), (None, 1, 0)] if kept else [], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+        docs = spark.read.parquet(f"{at}/documents.parquet")
+        for stage, run in corpus_pipeline.STAGES[:-1]:
+            columns = docs.columns
+            docs = saved(run(spark, docs, at), "t")
+            assert docs.columns == columns
+            if stage == "quality rules" and kept:
+                assert Counter(r.doc_id for r in docs.collect()) == Counter(r[0] for r in rows if r[0] not in (20, 21, 22))
+            if stage == "minhash near-dedup" and kept:
+                assert Counter(r.doc_id for r in docs.collect()) == {**{i: 1 for i in range(12)}, 5: 2, None: 2}
+        bins = corpus_pipeline.STAGES[-1][1](spark, docs, at).collect()
+        assert bool(bins) == bool(kept) and all(r.n_words <= r.bin_words <= 2048 for r in bins)
