@@ -3,7 +3,7 @@
 Vectors are dealt into blocks of bounded size, queries into blocks of their own, and each tile of the grid is one
 task: its int8 product (in float32, which holds these integers exactly) gives every inner product up to an error
 bound; pairs whose upper bound reaches the query's k-th lower bound are computed again in double precision, and the
-tiles' short lists are merged by heaps. Nothing is pruned that the bound doesn't exclude, so recall is 1.
+tiles' short lists are merged by heaps, FAN_IN lists at a time, in a tree. Nothing is pruned that the bound doesn't exclude, so recall is 1.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do null ids;
 vectors meet only vectors of their own length; rows that repeat an id count once, with the smallest vector; ties go
@@ -25,6 +25,8 @@ from lodestrata.session import table
 
 BLOCK_ROWS = 8192
 QUERY_ROWS = 4096
+FAN_IN = 64
+MERGE_QUERIES = 256
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
@@ -107,20 +109,30 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embeddin
 
     def tiles(left: pa.Table, right: pa.Table) -> pa.Table:
         if left.num_rows and right.num_rows:
-            found = tile(_matrix(left, "id", "v"), _matrix(right, "c_id", "c_v"), k)
+            found, b = tile(_matrix(left, "id", "v"), _matrix(right, "c_id", "c_v"), k), left["b"][0].as_py()
         else:
-            found = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64())})
+            found, b = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), 0
+        return pa.table({"query_id": pa.array(found[0], pa.int64()), "vec_id": pa.array(found[1], pa.int64()), "score": pa.array(found[2], pa.float64()),
+                         "b": pa.array(np.full(len(found[0]), b), pa.int32()), "rank": pa.array(np.zeros(len(found[0])), pa.int32())})
 
     def merged(t: pa.Table) -> pa.Table:
+        """The best of each query's lists, by heaps."""
         rows = sorted(zip(t["query_id"].to_pylist(), (-t["score"].to_numpy()).tolist(), t["vec_id"].to_pylist(), strict=True), key=lambda r: r[0])
-        got = [(qid, i + 1, vid, -score) for qid, run in groupby(rows, key=lambda r: r[0]) for i, (_, score, vid) in enumerate(heapq.nsmallest(k, run, key=lambda r: r[1:]))]
-        cols = list(zip(*got, strict=True)) if got else [(), (), (), ()]
-        return pa.table([pa.array(c, kind) for c, kind in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "rank", "vec_id", "score"])
-
-    short = queries.groupBy("dim", "b", "q").cogroup(candidates.groupBy("dim", "b", "q")).applyInArrow(tiles, "query_id long, vec_id long, score double")
-    group = F.pmod(F.xxhash64("query_id"), F.lit(max(12, q_blocks * 8)))
-    return short.groupBy(group).applyInArrow(merged, "query_id long, rank int, vec_id long, score double")
+        got = [(qid, vid, -score, t["b"][0].as_py() // FAN_IN, i + 1) for qid, run in groupby(rows, key=lambda r: r[0]) for i, (_, score, vid) in enumerate(heapq.nsmallest(k, run, key=lambda r: r[1:]))]
+        cols = list(zip(*got, strict=True)) if got else [()] * 5
+        return pa.table([pa.array(c, kind) for c, kind in zip(cols, (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32()), strict=True)],
+                        names=["query_id", "vec_id", "score", "b", "rank"])
+
+    lists = "query_id long, vec_id long, score double, b int, rank int"
+    short = queries.groupBy("dim", "b", "q").cogroup(candidates.groupBy("dim", "b", "q")).applyInArrow(tiles, lists)
+    # A merge takes FAN_IN lists of each of some MERGE_QUERIES queries; as many rounds as it takes to be left with one.
+    group = F.pmod(F.xxhash64("query_id"), F.lit(max(1, math.ceil(n_queries / MERGE_QUERIES)))).alias("group")
+    left = n_blocks
+    while True:
+        short = short.groupBy(group, F.floor(F.col("b") / FAN_IN).alias("over")).applyInArrow(merged, lists)
+        left = math.ceil(left / FAN_IN)
+        if left == 1:
+            return short.select("query_id", "rank", "vec_id", "score")
 
 
 def op10_block_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -220,13 +220,22 @@ def _weigh(root: Node) -> None:
             n.link_chars, n.link_tags = n.chars, n.link_tags + 1
     share = root.link_chars / root.chars if root.chars else 0.0
     for n in order:
-        if n.chars:
-            plain = max(1, n.chars - n.link_chars)
-            base = math.log(n.chars / plain * n.link_chars + share * n.chars + math.e)
-            tags = max(1, n.tags)
-            n.density = n.chars / tags * math.log(max(math.e, n.chars / max(1, n.link_chars) * tags / max(1, n.link_tags))) / base
+        n.density = density(n.chars, n.tags, n.link_chars, n.link_tags, share)
     for n in order:
-        n.total = sum(c.density for c in n.children if isinstance(c, Node)) + sum(len("".join(c.split())) for c in n.children if isinstance(c, str))
+        # A run of text is a child like others: a leaf without tags or links.
+        n.total = sum(c.density if isinstance(c, Node) else density(len("".join(c.split())), 0, 0, 0, share) for c in n.children)
+
+
+def density(chars: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
+    """Composite density: characters a tag, by a logarithm that falls with the share of characters and tags in links.
+
+    share is that of link characters in the whole page.
+    """
+    if not chars:
+        return 0.0
+    tags = max(1, tags)
+    base = math.log(chars / max(1, chars - link_chars) * link_chars + share * chars + math.e)
+    return chars / tags * math.log(max(math.e, chars / max(1, link_chars) * tags / max(1, link_tags))) / base
 
 
 def _emit(n: Node, blocks: list[list[str]]) -> None:

@@ -1,8 +1,13 @@
 """Packing, mixing, extraction, language, archives, neighbours."""
 
 import gzip
+import hashlib
+import io
+import math
 import random
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -44,6 +49,39 @@ def test_pack_edges(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
 
 
+def test_pack_documents(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source")
+    docs = docs.unionByName(docs.where("doc_id % 3 = 0")).unionByName(spark.createDataFrame([(None, "one and the same text", None)] * 300, docs.schema))
+    got = packing.pack(docs, capacity=512, max_per_source=2, group_pieces=64).collect()
+    count = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    rows = docs.collect()
+    assert sum(r.n_words for r in got) == sum(count(r.text) for r in rows)
+    pieces = Counter((r.doc_id, r.piece, r.start, r.n_words, r.source) for r in got)
+    want = Counter()
+    for r in rows:
+        n = count(r.text)
+        for i in range(max(1, -(-n // 512))):
+            want[r.doc_id, i, 512 * i, min(512, n - 512 * i), r.source] += 1
+    assert pieces == want
+    text = {r.doc_id: " ".join(re.findall(r"[^\x20\x09-\x0D]+", r.text or "")).lower() for r in rows}
+    bins = {}
+    for r in got:
+        if r.bin_id is not None:
+            bins.setdefault(r.bin_id, []).append(r)
+    for members in bins.values():
+        assert sum(r.n_words for r in members) == members[0].bin_words <= 512
+        assert max(Counter(r.source for r in members).values()) <= 2
+        assert len({text[r.doc_id] for r in members}) == len(members)
+    again = packing.pack(docs.repartition(3), capacity=512, max_per_source=2, group_pieces=64).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+
+
+def test_pack_by_cluster(spark):
+    docs = spark.createDataFrame([(i, f"text {i}", f"s{i}", "c" if i < 4 else None) for i in range(8)], "doc_id long, text string, source string, cluster string")
+    got = packing.pack(docs, cluster_col="cluster").collect()
+    assert len({r.bin_id for r in got if r.doc_id < 4}) == 4 and len({r.bin_id for r in got}) == 4
+
+
 def test_mix_edges(spark):
     rows = [(i, "w " * (i % 7), f"s{i % 3}") for i in range(60)] + [(99, None, None), (100, "a b c", None), (100, "a b c", None), (None, "z", "s1")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("size", F.lit(1))
@@ -62,7 +100,51 @@ def test_tree_is_exact_and_permutations_permute():
     parts = mixing.split_quotas(quotas, 7, 1)
     assert (parts.sum(axis=0) == quotas).all() and parts.sum(axis=1).max() - parts.sum(axis=1).min() <= 3
     for n in (1, 2, 3, 64, 1000):
-        assert sorted(mixing.permuted(np.arange(n), n, 9)) == list(range(n))
+        for epoch in (0, 1):
+            assert sorted(mixing.permuted(np.arange(n), n, 9, 4, epoch)) == list(range(n))
+    assert list(mixing.permuted(np.arange(64), 64, 9, 4, 0)) != list(mixing.permuted(np.arange(64), 64, 9, 4, 1))
+
+
+def test_what_the_draws_take(spark):
+    """Against brute force: every block of every epoch in permuted order, until the target is met, word by word."""
+    rng = random.Random(6)
+    rows = [(i, " ".join(f"d{i}w{j}" for j in range(rng.choice([0, 1, 5, 40, 300]))), rng.choice(["a", "a", "a", "b", None])) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("row_key", F.lit(1))
+    block = 16
+    mix = mixing.plan_mix(docs, block_words=block, shard_words=500)
+    slices = mixing.mix_slices(docs, block_words=block, shard_words=500).collect()
+    assert mix.cuts.shape[0] > 3
+    targets = {r.source: r for r in mixing.source_targets(docs.select("source", mixing.n_words(F.col("text")).alias("size"))).collect()}
+    key = lambda i, t: hashlib.md5(f"17:{i}:{hashlib.md5(t.encode()).hexdigest()}".encode()).hexdigest()
+    taken, per_shard = {}, {}
+    for source, t in targets.items():
+        stream = [w for _, text in sorted((key(i, text), text) for i, text, s in rows if s == source) for w in text.split()]
+        n, left, d = -(-len(stream) // block), int(t.target + 0.5), 0
+        for epoch in range(4):
+            order = sorted(range(n), key=lambda b: mixing.permuted(np.array([b]), n, mixing.SEED, t.source_no, epoch)[0])
+            for b in order:
+                got = stream[b * block : (b + 1) * block][:left]
+                if not got:
+                    break
+                left -= len(got)
+                shard = int(np.searchsorted(mix.cuts[:, t.source_no], d, side="right"))
+                d += 1
+                for w in got:
+                    taken[w] = taken.get(w, 0) + 1
+                    per_shard[shard, w] = per_shard.get((shard, w), 0) + 1
+        assert left == 0 and d == mix.draws[t.source_no].quota == mix.cuts[-1, t.source_no]
+    words_of = {i: t.split() for i, t, _ in rows}
+    mine = {}
+    for r in slices:
+        for w in words_of[r.doc_id][r.start or 0 : (r.start or 0) + r.n_taken]:
+            mine[r.shard, w] = mine.get((r.shard, w), 0) + 1
+    assert mine == per_shard
+    whole = mixing.mix_documents(docs, block_words=block, shard_words=500).collect()
+    counted = {}
+    for r in whole:
+        for w in r.text.split():
+            counted[w] = counted.get(w, 0) + 1
+    assert counted == taken and max(taken.values()) <= 3
 
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><script>if (a<b) x="</p>";</script></head><body class="post sidebar-left">
@@ -78,6 +160,74 @@ def test_extract():
     assert htmltext.extract("<div>" * 5000 + "deep") == "deep"
 
 
+def test_densities_by_brute_force():
+    """The tree's densities and sums against a second parser and the formula written out."""
+    from html.parser import HTMLParser
+
+    class Tree(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.root = self.now = ["html", [], None]
+
+        def handle_starttag(self, tag, attrs):
+            node = [tag, [], self.now]
+            self.now[1].append(node)
+            if tag not in ("br", "img"):
+                self.now = node
+
+        def handle_endtag(self, tag):
+            self.now = self.now[2]
+
+        def handle_data(self, data):
+            self.now[1].append(data)
+
+    def counts(n):
+        if isinstance(n, str):
+            return len("".join(n.split())), 0, 0, 0
+        parts = [counts(c) for c in n[1]]
+        chars, tags = sum(p[0] for p in parts), sum(p[1] for p in parts) + sum(not isinstance(c, str) for c in n[1])
+        links = (chars, 1 + sum(p[3] for p in parts)) if n[0] == "a" else (sum(p[2] for p in parts), sum(p[3] for p in parts))
+        return chars, tags, *links
+
+    def dense(n, share):
+        c, t, lc, lt = counts(n)
+        if not c:
+            return 0.0
+        plain = c - lc if c > lc else 1
+        ratio = (c / (lc or 1)) * ((t or 1) / (lt or 1))
+        return (c / (t or 1)) * (math.log(ratio) if ratio > math.e else 1.0) / math.log(c * lc / plain + share * c + math.e)
+
+    rng = random.Random(12)
+
+    def page(depth=0):
+        out = []
+        for _ in range(rng.randrange(1, 5)):
+            kind = rng.choice(["text", "text", "div", "span", "a", "section", "b", "br"]) if depth < 5 else "text"
+            if kind == "text":
+                out.append(" ".join("w" * rng.randrange(1, 9) for _ in range(rng.randrange(1, 12))))
+            elif kind == "br":
+                out.append("<br>")
+            else:
+                out.append(f"<{kind}>{page(depth + 1)}</{kind}>")
+        return "".join(out)
+
+    for _ in range(60):
+        source = page()
+        other = Tree()
+        other.feed(source)
+        other.close()
+        mine = htmltext.parse(source)
+        htmltext._weigh(mine)
+        c, _, lc, _ = counts(other.root)
+        share = lc / c if c else 0.0
+        todo = [(mine.children[0], other.root)]
+        while todo:
+            a, b = todo.pop()
+            kids = [x for x in b[1] if not isinstance(x, str)]
+            assert a.total == pytest.approx(sum(dense(x, share) for x in b[1])) and (b is other.root or a.density == pytest.approx(dense(b, share)))
+            todo += zip([x for x in a.children if not isinstance(x, str)], kids, strict=True)
+
+
 def test_self_closed_icons():
     for icon in ("<svg/>", '<svg class="i" />', "<math/>", "<SVG viewBox='0 0 1 1'/>", "<svg><path d='x'/></svg>"):
         assert htmltext.extract(f"<p>before {icon}after<p>more</p>") == "before after\nmore"
@@ -117,6 +267,28 @@ def test_language(spark, sf):
     assert {r.lang_pred for r in language.identify(docs.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_kernel_and_ridge_by_brute_force():
+    rng = np.random.default_rng(5)
+    say = lambda letters, n: " ".join("".join(rng.choice(list(letters), 4)) for _ in range(n))
+    texts = [say(letters, 6) for _ in range(12) for letters in ("abcdé", "cdefg", "xyzab")]
+    langs = ["p", "q", "r"] * 12
+    model = language.fit(texts, langs, n_landmarks=3, ridge=0.01)
+    grams = lambda t: {b[i : i + n] for b in [t.lower().encode()] for n in (1, 2, 3) for i in range(len(b) - n + 1)}
+    marks = [grams(texts[i]) for k in "pqr" for i in [j for j, x in enumerate(langs) if x == k][:3]]
+    known = set().union(*marks)
+    sets = [grams(t) & known for t in texts]
+    k = lambda a, b: len(a & b) / math.sqrt(len(a) * len(b))
+    landmarks = np.array([[k(a, b) for b in marks] for a in marks])
+    cross = np.array([[k(a, b) for b in marks] for a in sets])
+    # Ridge on Nystrom features is the minimum of |cross a - y|^2 + lambda a' K a.
+    y = np.array([[float(x == label) for label in "pqr"] for x in langs])
+    a = np.linalg.solve(cross.T @ cross + 0.01 * len(texts) * landmarks, cross.T @ y)
+    new = [say("abcdé", 3), say("xyzab", 9), "ABCD"]
+    want = np.array([[k(grams(t) & known, m) for m in marks] for t in new]) @ a
+    got, score = language.predict(model, new, model.table())
+    assert got == ["pqr"[i] for i in want.argmax(axis=1)] and score == pytest.approx(np.clip(want.max(axis=1), 0, 1), abs=1e-5)
+
+
 def test_language_of_copies_and_long_texts(spark, monkeypatch):
     rng = np.random.default_rng(3)
     say = lambda letters, n: " ".join("".join(rng.choice(list(letters), 5)) for _ in range(n))
@@ -140,12 +312,29 @@ def test_archive_round_trip(spark, tmp_path):
     assert got == {(4, 8, "response", None), (10, 8, "revisit", 4), (9, 8, "revisit", 4), (7, 0, "response", None), (8, 0, "revisit", 7),
                    (6, len(bodies[4]), "response", None), (5, 2000, "response", None), (None, 2000, "revisit", 5)}
     data = b"".join(gzip.open(p).read() for p in (tmp_path / "w").glob("part-*"))
-    assert sum(1 for _ in warc.parse_archive(data)) == len(rows)
+    assert sum(1 for _ in warc.parse_archive(io.BytesIO(data))) == len(rows)
     sized = warc.resolve_revisits(pages, "page_id", "url", "html", min_revisit_bytes=9).where("is_revisit")
     assert {r.id for r in sized.collect()} == {None}
+    assert warc.resolve_revisits(pages, "page_id", "url", "html", min_revisit_bytes=9).count() == len(rows)
+    with pytest.raises(ValueError):
+        list(warc.parse_archive(io.BytesIO(data[:-9])))
+
+
+def test_archive_of_long_and_many_pages(spark, tmp_path):
+    rows = [(i, "u", "x" * (300_000 + i % 2)) for i in range(6)] + [(100 + i, "u", "same") for i in range(50)] + [(200, "u", None)] * 2
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    path = f"file://{tmp_path}/w"
+    warc.write_archive(warc.resolve_revisits(pages, "page_id", "url", "html"), path, records_per_file=7)
+    got = sorted((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.read_archive(spark, path).collect())
+    assert got[:3] == [(0, 300_000, "response", None), (1, 300_001, "response", None), (2, 300_000, "revisit", 0)]
+    assert got[7] == (101, 4, "revisit", 100) and got[-2:] == [(200, 0, "response", None)] * 2 and len(got) == len(rows)
+    assert warc.read_archive(spark, path).count() == len(rows)
+    empty = f"file://{tmp_path}/e"
+    warc.write_archive(warc.resolve_revisits(pages.limit(0), "page_id", "url", "html"), empty)
+    assert warc.read_archive(spark, empty).count() == 0
 
 
-def test_neighbours(spark, sf):
+def test_neighbours(spark, monkeypatch):
     rng = np.random.default_rng(4)
     rows = [(i, rng.normal(size=6).round(1).tolist()) for i in range(300)]
     rows += [(400, None), (420, [0.0] * 6), (440, [1.0, None] * 3), (460, [float("nan")] * 6), (480, [float("inf")] * 6), (500, [1.0, 2.0]), (20, rows[20][1]), (None, rows[0][1])]
@@ -157,4 +346,11 @@ def test_neighbours(spark, sf):
         near = sorted((-sum(np.cumsum(np.array(vectors[q]) * np.array(v))[-1:]), i) for i, v in vectors.items() if i != q)[:20]
         want |= {(q, j + 1): (i, pytest.approx(-s, abs=1e-12)) for j, (s, i) in enumerate(near)}
     assert got == want
+    monkeypatch.setattr(blockmatrix, "FAN_IN", 2)
+    monkeypatch.setattr(blockmatrix, "MERGE_QUERIES", 4)
+    again = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in blockmatrix.nearest(df, block_rows=32, query_rows=8).collect()}
+    assert again == got
+    ties = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(50)] + [(60, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    near = [r.vec_id for r in blockmatrix.nearest(ties, block_rows=8, query_rows=2).where("query_id = 20").orderBy("rank").collect()]
+    assert near == [i for i in range(21) if i != 20]
     assert blockmatrix.nearest(df.limit(0)).count() == 0
