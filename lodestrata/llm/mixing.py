@@ -8,8 +8,9 @@ is exact in expectation. A Feistel permutation of a source's blocks in an epoch
 hold disjoint ranges of the draws. What a document gives is what the draws take of its blocks, nothing else, so one that
 lies in blocks the last epoch doesn't draw gives nothing there. Shards order what they hold by a hash of their own.
 
-Running sums over a source are taken in two steps, inside hash buckets and over the buckets' sums, so that no task
-sees a whole source. What reaches the driver is one row a source, and MAX_CUTS quotas at most: shards grow instead.
+Documents are measured once; what is planned on are their sizes, in a table of their own, where rows of one source, id and
+text are counted. Running sums over a source are taken in two steps, inside hash buckets and over the buckets' sums, so
+that no task sees a whole source. Texts join what is drawn of them at the end. What reaches the driver is one row a source, and MAX_CUTS quotas at most: shards grow instead.
 
 Edge cases: a null text has size 0 and is never taken; null is a source of its own, last in order; rows that repeat
 an id are documents of their own; sources without words get target 0; an empty table gives no rows. Other columns
@@ -23,14 +24,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lodestrata.llm.quality import let
 from lodestrata.llm.words import n_words, words
-from lodestrata.session import table
+from lodestrata.session import saved, table
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
@@ -142,10 +143,11 @@ def draws_of(no: int, n_words: int, take: int, block: int, seed: int) -> Draws:
 @dataclass
 class Mix:
     """takes: a row for each document and epoch that may draw from it, and what is drawn: starts, lengths (words of the
-    document), shards, one entry a block, all empty where nothing is. It has row_key, doc_id, source, source_no, size,
-    source_size, target, key, epoch, and row if it was kept. cuts: running quotas, shards x sources."""
+    document), shards, one entry a block, all empty where nothing is. It has row_key, doc_id, source, source_no, size, source_size,
+    target, key, epoch, and row if it was kept. cuts: running quotas, shards x sources."""
 
     takes: DataFrame
+    repeated: DataFrame | None
     draws: list[Draws]
     cuts: np.ndarray
     block_words: int
@@ -185,18 +187,19 @@ def drawn(draws: list[Draws], cuts: np.ndarray, block: int, seed: int):
     return run
 
 
+def _key(seed: int, id_col: str, text: Column) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")))))
+
+
 def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
-             shard_words: int = 4_000_000, block_words: int = BLOCK_WORDS, seed: int = SEED, keep_row: bool = False) -> Mix:
+             shard_words: int = 4_000_000, block_words: int = BLOCK_WORDS, seed: int = SEED) -> Mix:
     text = F.col(f"`{text_col}`").cast("string")
-    n_docs = docs.count()
+    measured = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), n_words(text).alias("size"), _key(seed, id_col, text).alias("key"))
+    rows = saved(measured.groupBy("doc_id", "source", "size", "key").agg(F.count(F.lit(1)).alias("n")), "sizes")
+    n_docs, most = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     digits = max(1, math.ceil(math.log(max(n_docs, 1) / 1000 + 1, 16)))
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("null")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")))))
-    sized = docs.select(
-        F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{source_col}`").cast("string").alias("source"), n_words(text).alias("size"), key.alias("key"),
-        *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep_row else []),
-    ).withColumn("bucket", F.substring("key", 1, digits))
-    light = sized.drop("row")
-    plan = [r.asDict() for r in source_targets(light).orderBy("source_no").collect()]  # one row a source
+    rows = rows.withColumn("bucket", F.substring("key", 1, digits)).withColumn("words", F.col("size") * F.col("n"))
+    plan = [r.asDict() for r in source_targets(rows.select("source", F.col("words").alias("size"))).orderBy("source_no").collect()]  # one row a source
     total = sum(r["source_size"] for r in plan)
     block_words = max(block_words, math.ceil(MAX_REPEATS * total / MAX_BLOCKS))
     shards = min(max(1, math.ceil(total / shard_words)), max(1, MAX_CUTS // max(len(plan), 1)))
@@ -208,28 +211,26 @@ def plan_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     ])
     last = lambda d: d.epochs if d.more else max(d.epochs - 1, 0)
     known = docs.sparkSession.createDataFrame([(r["source"], r["source_no"], r["source_size"], r["target"], last(d)) for r, d in zip(plan, draws, strict=True)], schema)
-    sums = light.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
+    sums = rows.groupBy("source", "bucket").agg(F.sum("words").alias("bucket_size"))
     offsets = sums.withColumn(
         "offset", F.coalesce(F.sum("bucket_size").over(W.partitionBy("source").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    in_bucket = W.partitionBy("source", "bucket").orderBy("key", "size")
-    placed = (
-        sized.withColumn("in_bucket", F.sum("size").over(in_bucket.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
-        .withColumn("row_no", F.row_number().over(in_bucket))
-    )
+    in_bucket = W.partitionBy("source", "bucket").orderBy("key", "size", "doc_id").rowsBetween(W.unboundedPreceding, 0)
+    placed = rows.withColumn("in_bucket", F.sum("words").over(in_bucket) - F.col("words"))
     o = offsets.select(F.col("source").alias("o_source"), F.col("bucket").alias("o_bucket"), "offset")
     k = F.broadcast(known) if len(plan) <= 10_000 else known
     placed = (
         placed.join(o, F.col("source").eqNullSafe(F.col("o_source")) & (F.col("bucket") == F.col("o_bucket")))
         .join(k, F.col("source").eqNullSafe(F.col("k_source")))
-        .withColumn("at", F.col("offset") + F.col("in_bucket"))
+        .withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+        .withColumn("at", F.col("offset") + F.col("in_bucket") + (F.col("copy") - 1) * F.col("size"))
     )
     takes = (
         placed.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.when(F.col("size") > 0, F.col("last_epoch")).otherwise(0))))
         .withColumn("d", drawn(draws, cuts, block_words, seed)("source_no", "epoch", "at", "size"))
-        .select(F.concat_ws("/", F.col("source_no").cast("string"), "bucket", F.col("row_no").cast("string")).alias("row_key"),
-                "doc_id", "source", "source_no", "size", "source_size", "target", "key", "epoch", "d.*", *(["row"] if keep_row else []))
+        .select(F.concat_ws("/", F.col("source_no").cast("string"), "key", F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("")), F.col("copy").cast("string")).alias("row_key"),
+                "doc_id", "source", "source_no", "size", "source_size", "target", "key", "copy", "epoch", "d.*")
     )
-    return Mix(takes, draws, cuts, block_words, seed)
+    return Mix(takes, rows.where("n > 1").select("source", "key", "doc_id") if most > 1 else None, draws, cuts, block_words, seed)
 
 
 def mix_slices(docs: DataFrame, **kwargs) -> DataFrame:
@@ -239,10 +240,10 @@ def mix_slices(docs: DataFrame, **kwargs) -> DataFrame:
     """
     mix = plan_mix(docs, **kwargs)
     one = F.explode_outer(F.arrays_zip("starts", "lengths", "shards")).alias("x")
-    return mix.takes.select("row_key", "doc_id", "source", "source_no", "size", "source_size", "target", "key", "epoch", one).select(
+    return mix.takes.select("row_key", "doc_id", "source", "source_no", "size", "source_size", "target", "key", "copy", "epoch", one).select(
         "row_key", "doc_id", "source", "size", "source_size", "target", "epoch", F.col("x.starts").alias("start"),
         F.coalesce("x.lengths", F.lit(0)).cast("long").alias("n_taken"), F.col("x.shards").alias("shard"),
-        F.xxhash64(F.lit(mix.seed), "source_no", "key", "epoch", "x.starts").alias("order"))
+        F.xxhash64(F.lit(mix.seed), "source_no", "key", "copy", "epoch", "x.starts").alias("order"))
 
 
 def mix_documents(docs: DataFrame, **kwargs) -> DataFrame:
@@ -251,15 +252,26 @@ def mix_documents(docs: DataFrame, **kwargs) -> DataFrame:
     A text of which only a part is drawn is cut to those words, in order, joined by one space. Its shard is that of the
     first of them.
     """
-    mix = plan_mix(docs, keep_row=True, **kwargs)
+    mix = plan_mix(docs, **kwargs)
     text = F.col("row.text").cast("string")
+    heavy = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("source").cast("string").alias("r_source"),
+                        _key(mix.seed, "doc_id", F.col("text").cast("string")).alias("r_key"), F.col("doc_id").alias("r_id"))
+    alike = lambda d: F.col("r_source").eqNullSafe(d["source"]) & (F.col("r_key") == d["key"]) & F.col("r_id").eqNullSafe(d["doc_id"])
+    one = F.lit(1).cast("long").alias("r_copy")
+    if mix.repeated is None:
+        numbered = heavy.select("*", one)
+    else:
+        no = F.row_number().over(W.partitionBy("r_source", "r_key", "r_id").orderBy(F.xxhash64(F.to_json("row")))).cast("long").alias("r_copy")
+        many = heavy.join(mix.repeated.hint("merge"), alike(mix.repeated), "left_semi").select("*", no)
+        numbered = heavy.join(mix.repeated.hint("merge"), alike(mix.repeated), "left_anti").select("*", one).unionByName(many)
+    takes = mix.takes.where(F.size("starts") > 0)
+    taken = numbered.join(takes.hint("merge"), alike(takes) & (F.col("r_copy") == takes["copy"]))
     n_taken = F.aggregate("lengths", F.lit(0).cast("long"), lambda acc, n: acc + n)
     parts = let(words(text), lambda w: F.flatten(F.zip_with("starts", "lengths", lambda a, n: F.slice(w, a.cast("int") + 1, n.cast("int")))))
     cut = F.when(n_taken == F.col("size"), text).otherwise(F.array_join(parts, " "))
     columns = [(cut if c == "text" else F.col(f"row.`{c}`")).alias(c) for c in docs.columns]
-    shard, order = F.element_at("shards", 1).alias("_shard"), F.xxhash64("source_no", "key", "epoch").alias("_order")
-    taken = mix.takes.where(F.size("starts") > 0).select(F.struct(*columns).alias("row"), shard, order)
-    return taken.repartition("_shard").sortWithinPartitions("_shard", "_order").select("row.*")
+    shard, order = F.element_at("shards", 1).alias("_shard"), F.xxhash64("source_no", "key", "copy", "epoch").alias("_order")
+    return taken.select(F.struct(*columns).alias("row"), shard, order).repartition("_shard").sortWithinPartitions("_shard", "_order").select("row.*")
 
 
 def op7_hypergeometric_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
