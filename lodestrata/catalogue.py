@@ -386,6 +386,18 @@ def mode_per_group(spark, sf_dir):
     return evaluation.mode_of(table(spark, sf_dir, "documents"), "source", "lang", "doc_id")
 
 
+@query(f"""WITH {BM25_SQL}, h AS (SELECT qid, doc_id AS id, rank AS old FROM r WHERE rank <= 20),
+qt AS (SELECT item_id AS qid, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM benchmark),
+z AS (SELECT qid, id, old, CASE WHEN len(w) = 0 THEN 0 ELSE len(list_intersect(w, t.t)) / len(w) END AS score FROM h JOIN qt USING (qid) JOIN t ON t.doc_id = h.id),
+k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, old)::INT AS rank FROM z) SELECT qid, id, round(score, 9) AS rerank_score, rank FROM k WHERE rank <= 15""")
+def lexical_rerank(spark, sf_dir):
+    questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    hits = _bm25(spark, sf_dir, 20).select("qid", "id", "rank").join(texts, "id").join(questions, "qid")
+    ranked = retrieval.rerank(hits, retrieval.lexical_rerank_score(F.col("question"), F.col("text")))
+    return ranked.select("qid", "id", F.round("rerank_score", 9).alias("rerank_score"), "rank")
+
+
 @query("SELECT doc_id, sha256('hashed-64|search_document|' || text) AS key FROM documents")
 def embed_cache_keys(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", providers.cache_key("hashed-64", "search_document", F.col("text")).alias("key"))

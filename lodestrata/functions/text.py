@@ -30,7 +30,6 @@ STHANAS = {
 }
 HEADING = r"^[A-Z][A-Z0-9 ,.&()/'-]{2,48}$"
 PROPERTIES = {"rasa": "rasa", "guna": "gu[nṇ]a", "virya": "v[iī]rya", "vipaka": "vip[aā]ka", "karma": "karma"}
-SPACE = r"(?U)\s"
 
 
 def strip(c: Column) -> Column:

@@ -117,12 +117,6 @@ def carry_forward(marks: DataFrame, key: str, order: list[str], label: str) -> D
     return marks.withColumn("in_effect", F.last(label, ignorenulls=True).over(W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
 
 
-def spans(titles: DataFrame, key: str, order: str) -> DataFrame:
-    """Each title's span: from its place to the next title of the same key."""
-    w = W.partitionBy(key).orderBy(order)
-    return titles.withColumn("until", F.lead(order).over(w))
-
-
 def missing_labels(traces: DataFrame, labels: DataFrame) -> DataFrame:
     return traces.select("qid").distinct().join(labels, "qid", "left_anti")
 

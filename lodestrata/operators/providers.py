@@ -72,7 +72,6 @@ class Retry:
 
 EMBED_RETRY = Retry(6, 2.0, 62.0)
 RERANK_RETRY = Retry(6, 6.0, only_rate=True)
-STORE_RETRY = Retry(5, 3.0)
 
 
 @dataclass

@@ -109,11 +109,6 @@ def stored_metadata(df: DataFrame, columns: list[str]) -> Column:
     return F.to_json(F.struct(*[value(c, kinds[c]) for c in columns]))
 
 
-def latest_parents(children: DataFrame) -> DataFrame:
-    """chunk_id of the parents that children name."""
-    return children.where("parent_id is not null").select(F.col("parent_id").alias("chunk_id")).distinct()
-
-
 def write_trace(run: DataFrame, questions: DataFrame, path: str) -> None:
     """The run's header, then a line a question in order of id."""
     head = run.select(F.lit("").alias("_id"), F.to_json(F.struct(F.lit("run").alias("type"), *run.columns)).alias("value"))
