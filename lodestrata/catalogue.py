@@ -431,7 +431,9 @@ def judge_json_parse(spark, sf_dir):
 n AS (SELECT DISTINCT lower(unnest(regexp_extract_all(text, '[A-Za-z]{8,}'))) AS name FROM benchmark)
 SELECT DISTINCT conv_id * 100 + turn AS id, name AS entry FROM w JOIN n USING (name)""")
 def mentioned_terms(spark, sf_dir):
-    texts = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "text")
+    low = F.lower(F.translate("text", "İ", "i"))  # its lower case is two characters to Spark and one to SQL
+    plain = F.regexp_replace(low, "[^a-z0-9_]+", " ")  # words end at any other letter in the SQL; the operator takes them whole
+    texts = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), plain.alias("text"))
     names = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{8,}"), F.lit(0))).alias("n")).select(F.lower("n").alias("name")).distinct()
     return context.mentioned(texts, names.withColumn("entry", F.col("name")))
 
