@@ -2,10 +2,12 @@
 
 Words and word pairs are hashed into n_buckets. The raw multinomial counts every n-gram of every document; the target
 multinomial counts those of all trusted documents (quality 1, not toxic), whose ids are joined to the corpus whatever
-their number, or of the max_target ones with the smallest id hashes if that is given. The target is smoothed towards
+their number, or of the max_target ones with the smallest id hashes if that is given. No text is shuffled for that, unless
+ids lie so far apart that the executors shouldn't all hold them (see marked). The target is smoothed towards
 the raw corpus, so that a bucket without evidence weighs nothing. A document's score is the mean log ratio of its
 n-grams; it is kept if that reaches min_score and the base rules hold. Weights are whole millionths, so sums are exact
-in any order. Everything is DataFrame expressions; only the n_buckets weights pass through the driver.
+in any order. Everything is DataFrame expressions; only the n_buckets weights and the blocks of ids, most_blocks at most,
+pass through the driver.
 
 A window of eight words is known by a 64-bit hash: pairs of word hashes are hashed, then pairs of pairs, then pairs of those.
 
@@ -28,6 +30,7 @@ N_BUCKETS = 8192
 MIN_SCORE = -0.05
 SPAN = 8
 MICRO = 1_000_000
+MOST_BLOCKS = 1 << 19  # of 64 ids each
 
 
 def let(value: Column, body) -> Column:
@@ -77,14 +80,26 @@ def trusted_ids(labels: DataFrame, max_target: int | None = None) -> DataFrame:
     return ids if max_target is None else ids.orderBy(F.xxhash64("t_id"), "t_id").limit(max_target)
 
 
+def marked(docs: DataFrame, ids: DataFrame, most_blocks: int = MOST_BLOCKS) -> DataFrame:
+    """docs (id and other columns) with t, 1 where ids (t_id) has the id, else 0.
+
+    Each 64 ids from a multiple of 64 on are the bits of one long. Up to most_blocks of those that aren't 0 are sent to all
+    executors, so that docs stay where they are; if there are more, docs and ids are shuffled and merged.
+    """
+    blocks = ids.groupBy(F.shiftright("t_id", 6).alias("block")).agg(F.expr("bit_or(shiftleft(1L, cast(t_id & 63 as int)))").alias("bits"))
+    if blocks.count() > most_blocks:
+        return docs.join(ids.hint("merge"), F.col("id") == F.col("t_id"), "left").withColumn("t", F.col("t_id").isNotNull().cast("long")).drop("t_id")
+    met = docs.join(F.broadcast(blocks), F.shiftright("id", 6) == F.col("block"), "left")
+    return met.withColumn("t", F.expr("coalesce(getbit(bits, cast(id & 63 as int)), 0)").cast("long")).drop("block", "bits")
+
+
 def bucket_weights(docs: DataFrame, labels: DataFrame, n_buckets: int = N_BUCKETS, max_target: int | None = None,
-                   id_col: str = "doc_id", text_col: str = "text") -> list[int]:
+                   id_col: str = "doc_id", text_col: str = "text", most_blocks: int = MOST_BLOCKS) -> list[int]:
     """The log ratio of each bucket in millionths."""
-    ids = trusted_ids(labels, max_target)
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    joined = slim.join(ids, F.col("id") == F.col("t_id"), "left")  # texts are smaller than their hashes where they're shuffled
+    joined = marked(slim, trusted_ids(labels, max_target), most_blocks)  # texts are smaller than their hashes where they're shuffled
     both = let(word_hashes(words(F.col("text"))), lambda h: F.concat(h, doubled(h, 1)))
-    grams = joined.select(F.col("t_id").isNotNull().cast("long").alias("t"), F.explode(both).alias("h"))
+    grams = joined.select("t", F.explode(both).alias("h"))
     rows = grams.select("t", F.pmod("h", F.lit(n_buckets)).cast("int").alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("raw"), F.sum("t").alias("target")).collect()  # n_buckets rows at most
     return weights_of({r["b"]: (r["raw"], r["target"]) for r in rows}, n_buckets)
 

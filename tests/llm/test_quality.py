@@ -109,3 +109,36 @@ def test_filter_evaluates_the_verdict_once(spark, sf):
         run(docs, labels).write.format("noop").mode("overwrite").save()
         took.append(time.time() - began)
     assert took[3] < 2 * took[2] + 1
+
+
+def shuffled_bytes(spark):
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    found = sc.statusStore().executorList(False)
+    return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+
+def test_no_text_is_shuffled(spark, sf):
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    small = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as where there are too many ids for it
+    try:
+        before = shuffled_bytes(spark)
+        weights = quality.bucket_weights(docs, labels, n_buckets=64)
+        assert shuffled_bytes(spark) - before < size / 20
+        assert quality.bucket_weights(docs, labels, n_buckets=64, most_blocks=0) == weights
+        assert shuffled_bytes(spark) - before > size / 20
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", small)
+
+
+def test_marked_ids(spark):
+    have = [-(2**63), -(2**40), -65, -64, -1, 0, 62, 63, 64, 127, 128, 2**40, 2**63 - 1]
+    docs = spark.createDataFrame([(x + d,) for x in have for d in (-1, 0, 1) if -(2**63) <= x + d < 2**63] + [(None,), (0,)], "id long")
+    ids = spark.createDataFrame([(x,) for x in have], "t_id long")
+    for most in (quality.MOST_BLOCKS, 0):
+        got = quality.marked(docs, ids, most)
+        assert got.columns == ["id", "t"]
+        assert sorted(map(tuple, got.collect()), key=str) == sorted(((r.id, int(r.id in have)) for r in docs.collect()), key=str)
+        assert {r.t for r in quality.marked(docs, ids.limit(0), most).collect()} == {0}
