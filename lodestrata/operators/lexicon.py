@@ -11,8 +11,9 @@ import logging
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,8 +29,11 @@ NAME_FIELDS = ("sanskrit", "latin", "hindi", "english", "ayurvedic", "modern")
 SANSKRIT_FIELDS = ("sanskrit", "hindi", "ayurvedic")
 DIACRITIC = "[À-ɏḀ-ỿ]"
 MAX_NAMES = 100_000
+MAX_KNOWN = 200_000  # tokens whose company a task remembers from batch to batch; results don't depend on it
 
-_TOKENS, _MARKED, _WORDS, _LATIN = re.compile(TOKEN), re.compile(DIACRITIC), re.compile(r"\S+"), re.compile("[A-Za-z]{3,}")
+_TOKENS, _MARKED, _LATIN = re.compile(TOKEN), re.compile(DIACRITIC), re.compile("[A-Za-z]{3,}")
+_ROMANIZABLE = re.compile("|".join(old for old, _ in ROMANIZED))
+_STOPWORDS, _ACRONYMS = frozenset(STOPWORDS), frozenset(ACRONYMS)
 
 
 def read_dictionary(spark: SparkSession, path: str) -> dict[str, dict]:
@@ -52,7 +56,7 @@ def names_of(entry: dict, fields: Iterable[str] = NAME_FIELDS) -> list[str]:
 
 def romanized(word: str) -> str:
     """As functions.text.romanization_key, for one word."""
-    if _LATIN.fullmatch(word):
+    if _ROMANIZABLE.search(word) and _LATIN.fullmatch(word):
         for old, new in ROMANIZED:
             word = word.replace(old, new)
     return word
@@ -110,40 +114,41 @@ class Lexicon:
         """Each token, and after it its romanization key if that is another word."""
         for t in tokens:
             yield t
-            if t.isascii() and t not in ACRONYMS and (key := romanized(t)) != t and self.wants_key(t, marked):
+            if t.isascii() and t not in _ACRONYMS and (key := romanized(t)) != t and self.wants_key(t, marked):
                 yield key
 
     def variants(self, token: str) -> list[str]:
         """The tokens of a token's synonyms, as documents have them."""
-        return [t for n in sorted(self.synonyms(token)) for t in self.with_keys(_TOKENS.findall(fold(n).lower())) if t not in STOPWORDS]
+        names = sorted(self.synonyms(token)) if token.lower() in self.exact or romanized(fold(token).lower()) in self.keyed else (token,)
+        return [t for n in names for t in self.with_keys(_TOKENS.findall(fold(n).lower())) if t not in _STOPWORDS]
 
-    def tokenize(self, text: str | None, synonyms: bool = True, stem: bool = True, known: dict[str, list[str]] | None = None) -> list[str]:
+    def marked(self, text: str) -> set[str]:
+        """The tokens of the words of a text that are written with diacritics."""
+        return {t for w in text.lower().split() if not w.isascii() and _MARKED.search(w) for t in _TOKENS.findall(fold(w))}
+
+    def tokenize(self, text: str | None, synonyms: bool = True, stem: bool = True, known: Company | None = None) -> list[str]:
         """Distinct tokens in order: surface forms without stop words, each followed by its key, synonyms and stems.
 
         Runs of Devanagari stay whole; they and acronyms get no keys, synonyms or stems. known remembers a token's
-        company, for many texts.
+        company, for many texts; synonyms and stem are then as known has them.
         """
         if not text:
             return []
-        known = {} if known is None else known
-        marked = {t for w in _WORDS.findall(text.lower()) if _MARKED.search(w) for t in _TOKENS.findall(fold(w))}
-        surface = [t for t in _TOKENS.findall(fold(text).lower()) if t not in STOPWORDS]
-        out: dict[str, None] = {}
-        for t in self.with_keys(surface, marked):
-            if t not in known:
-                plain = t.isascii() and t not in ACRONYMS
-                company = [t, *(self.variants(t) if plain and synonyms else ())]
-                known[t] = [x for c in company for x in ((c, porter(c)) if stem and c.isascii() and c not in ACRONYMS else (c,))]
-            out.update(dict.fromkeys(known[t]))
-        return list(out)
+        known = Company(self, synonyms, stem) if known is None else known
+        found = dict.fromkeys(_TOKENS.findall(fold(text).lower()))
+        marked = self.marked(text) if self.english and not text.isascii() else ()  # without English words every token wants its key
+        company = (known.marked[t] if t in marked else known[t] for t in found) if marked else map(known.__getitem__, found)
+        return list(dict.fromkeys(chain.from_iterable(company)))
 
     def tokens(self, synonyms: bool = True, stem: bool = True):
         """tokenize as a function of columns, in Arrow batches."""
 
-        @F.pandas_udf("array<string>")
-        def run(texts: pd.Series) -> pd.Series:
-            known: dict[str, list[str]] = {}
-            return texts.map(lambda t: self.tokenize(t, synonyms, stem, known))
+        @F.arrow_udf("array<string>")
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            known = Company(self, synonyms, stem)
+            for texts in batches:
+                known.bound()
+                yield pa.array([self.tokenize(t, synonyms, stem, known) for t in texts.to_pylist()], pa.list_(pa.string()))
 
         return run
 
@@ -153,6 +158,32 @@ class Lexicon:
         return spark.createDataFrame(rows, "name string, key string, variant string")
 
 
+class Company(dict):
+    """By surface token: the token, its key, and the synonyms and stems of both, made when first asked for; none for a stop
+    word. marked has the same for tokens written with diacritics."""
+
+    def __init__(self, lexicon: Lexicon, synonyms: bool = True, stem: bool = True, marks: bool = False) -> None:
+        self.lexicon, self.synonyms, self.stem, self.marks = lexicon, synonyms, stem, marks
+        self.marked = None if marks else Company(lexicon, synonyms, stem, True)
+
+    def __missing__(self, token: str) -> tuple[str, ...]:
+        found: dict[str, None] = {}
+        for t in self.lexicon.with_keys((token,), {token} if self.marks else frozenset()) if token not in _STOPWORDS else ():
+            for c in (t, *self.lexicon.variants(t)) if self.synonyms and t.isascii() and t not in _ACRONYMS else (t,):
+                if c not in found:
+                    found[c] = None
+                    if self.stem and c.isascii() and c not in _ACRONYMS:
+                        found[porter(c)] = None
+        self[token] = out = tuple(found)
+        return out
+
+    def bound(self) -> None:
+        """Forgets what it has if that is over MAX_KNOWN tokens."""
+        for each in (self, self.marked):
+            if len(each) > MAX_KNOWN:
+                each.clear()
+
+
 def lookup_names(entries: dict[str, dict], shortest: int = 4) -> list[tuple[str, str, str]]:
     """(entry, what to call it, a name of it in lower case) for each name of shortest characters at least, in order of the dictionary."""
     out = []

@@ -1,12 +1,13 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from lodestrata import catalogue
 from lodestrata.functions.words import fold, porter
-from lodestrata.operators import context, retrieval
+from lodestrata.operators import context, lexicon, retrieval
 from lodestrata.operators.lexicon import Lexicon, lookup_names, read_dictionary, romanized
 
 
@@ -50,6 +51,23 @@ def test_lexicon():
     assert lex.tokenize("running", synonyms=False, stem=False) == ["running"] and lex.tokenize(None) == [] and lex.tokenize(" ") == []
 
 
+def test_company_across_batches(spark, monkeypatch):
+    # A task works out a token's stems, key and synonyms once, not once a batch, and forgets them only beyond a bound.
+    asked = []
+    monkeypatch.setattr(lexicon, "porter", lambda w: (asked.append(w), porter(w))[1])
+    lex = Lexicon(NAMES, frozenset(["ship", "the"]))
+    texts = [["The running Śhip of ashwagandha", None], ["ship running, ashwagandha", "ŚHIP"]]
+    got = [b.to_pylist() for b in lex.tokens().func(iter(map(pa.array, texts)))]
+    assert asked.count("running") == 1 and asked.count("ship") == 2  # once as written plainly, once with diacritics
+    assert got == [[lex.tokenize(t) for t in batch] for batch in texts]
+    assert "sip" in got[0][0] and "sip" not in got[1][0] and got[1][1] == ["ship", "sip"]  # only as written with diacritics
+    known = lexicon.Company(lex)
+    monkeypatch.setattr(lexicon, "MAX_KNOWN", 1)
+    lex.tokenize("one two three", known=known)
+    known.bound()
+    assert not known and lex.tokenize("one two", known=known) == lex.tokenize("one two")
+
+
 def test_lexicon_in_search(spark, tmp_path):
     (tmp_path / "d.json").write_text('{"a": {"sanskrit": ["Ashvagandha"], "english": ["winter cherry"]}, "bad": 3}')
     (tmp_path / "broken.json").write_text("{")
