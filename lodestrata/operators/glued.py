@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from lodestrata.functions.text import letter_runs
 from lodestrata.functions.words import fold, fold_diacritics
+from lodestrata.session import saved
 
 # Fixed values that results depend on: the length of a glued run, the share of them that marks a source, lengths and
 # counts of safe words, the least run to be parted, the share of it that has to be known, and the words that stand
@@ -26,6 +27,8 @@ LEAST_RUN, KNOWN_SHARE, SHORT, SHORT_COUNT, SHORT_RANK, KNOWN_RANK = 8, 0.6, 3,
 FUNCTION_WORDS = frozenset("a an and are as at be by for from has he his i in is it its of on or that the their this to was were which with".split())
 ENDING_WORDS = frozenset("and are etc for from has its the their this was were which with".split())
 UNKNOWN_LETTER = 1e6
+# Bound of what is broadcast; results don't depend on it.
+BROADCAST_SOURCES = 1_000_000
 _RUN, _CASE = re.compile("[A-Za-z]+"), re.compile("(?<=[a-z])(?=[A-Z])")
 
 
@@ -37,12 +40,17 @@ def glued_ratio(docs: DataFrame, key: str = "source", text: str | Column = "text
 
 
 def protected_words(docs: DataFrame, key: str = "source", text: str | Column = "text", extra: Iterable[str] = ()) -> DataFrame:
-    """word, n: words of the sources that aren't glued, in lower case, seen SAFE_COUNT times; extra words count as seen that often."""
+    """word, n: words of the sources that aren't glued, in lower case, seen SAFE_COUNT times; extra words count as seen that often.
+
+    A source may be a large part of the corpus, so no word goes where its source goes: the glued sources, few, are
+    broadcast, and words are counted before they are shuffled.
+    """
     text = F.col(text) if isinstance(text, str) else text
-    runs = docs.select(key, F.explode(letter_runs(text)).alias("w"))
-    glued = runs.groupBy(key).agg(F.avg((F.length("w") >= GLUED_LENGTH).cast("int")).alias("r")).where(F.col("r") > GLUED_SHARE)
+    glued = saved(glued_ratio(docs, key, text).where(F.col("ratio") > GLUED_SHARE).select(key), "glued-sources")
+    glued = F.broadcast(glued) if glued.count() <= BROADCAST_SOURCES else glued
     good = F.length("w").between(SAFE_LENGTH, GLUED_LENGTH - 1)
-    counts = runs.join(glued, key, "left_anti").where(good).groupBy(F.lower("w").alias("word")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SAFE_COUNT)
+    runs = docs.join(glued, key, "left_anti").select(F.explode(letter_runs(text)).alias("w"))
+    counts = runs.where(good).groupBy(F.lower("w").alias("word")).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SAFE_COUNT)
     more = sorted({w for e in extra for w in _RUN.findall(fold(e).lower()) if len(w) >= SAFE_LENGTH})
     if more:
         added = docs.sparkSession.createDataFrame([(w, SAFE_COUNT) for w in more], "word string, n long")

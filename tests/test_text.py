@@ -45,3 +45,16 @@ def test_matching_text(spark):
     assert words["patient"] == 4 and words["winter"] == 3 and words["cherry"] == 3 and "ab" not in words and not any(len(w) > 14 for w in words)
     got = {r.source: r.bm25_text for r in glued.with_matching_text(docs, ranked=COMMON).collect()}
     assert got["a"] == good and got["b"].split()[:5] == "the patient should drink water".split() and got["c"] is None
+
+
+def test_words_of_a_large_source_stay_in_place(spark):
+    good = "the patient should drink water with honey and milk for the fever " * 4
+    docs = spark.createDataFrame([("a", good), ("b", "thepatientshoulddrinkwater withhoneyandmilk patient"), (None, good)], "source string, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = glued.protected_words(docs)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert {r.word: r.n for r in got.collect()}["patient"] == 8
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(source" not in plan
