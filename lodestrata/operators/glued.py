@@ -8,10 +8,10 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,9 +27,11 @@ LEAST_RUN, KNOWN_SHARE, SHORT, SHORT_COUNT, SHORT_RANK, KNOWN_RANK = 8, 0.6, 3,
 FUNCTION_WORDS = frozenset("a an and are as at be by for from has he his i in is it its of on or that the their this to was were which with".split())
 ENDING_WORDS = frozenset("and are etc for from has its the their this was were which with".split())
 UNKNOWN_LETTER = 1e6
-# Bound of what is broadcast; results don't depend on it.
-BROADCAST_SOURCES = 1_000_000
+# Bounds of what is broadcast, of what one task sorts, and of the parted runs that it remembers; results don't depend on them.
+BROADCAST_SOURCES, SORTED_WORDS, MAX_KNOWN = 1_000_000, 100_000, 200_000
 _RUN, _CASE = re.compile("[A-Za-z]+"), re.compile("(?<=[a-z])(?=[A-Z])")
+#: Runs that may be parted: of LEAST_RUN letters, or with a change from lower to upper case.
+_LONG_RUN = re.compile("(?<![A-Za-z])(?:[A-Za-z]{%d,}|(?=[A-Za-z]*[a-z][A-Z])[A-Za-z]+)" % LEAST_RUN)
 
 
 def glued_ratio(docs: DataFrame, key: str = "source", text: str | Column = "text") -> DataFrame:
@@ -80,10 +82,12 @@ class Splitter:
 
     def cheapest(self, run: str) -> list[str]:
         """The words of least total cost that make up the run; letters that begin no word stand alone."""
-        low, best, step = run.lower(), [0.0], [0]
+        low, best, step, cost = run.lower(), [0.0], [0], self.cost.get
         for end in range(1, len(run) + 1):
-            options = ((best[at] + self.cost.get(low[at:end], UNKNOWN_LETTER if end - at == 1 else math.inf), end - at) for at in range(max(0, end - self.longest), end))
-            total, length = min(options)
+            total, length = best[end - 1] + cost(low[end - 1 : end], UNKNOWN_LETTER), 1
+            for at in range(end - 2, max(0, end - self.longest) - 1, -1):  # of equal totals, the shortest last word
+                if (c := cost(low[at:end])) is not None and best[at] + c < total:
+                    total, length = best[at] + c, end - at
             best.append(total)
             step.append(length)
         out, end = [], len(run)
@@ -132,8 +136,8 @@ class Splitter:
         return None if text is None else _RUN.sub(lambda m: " ".join(map(self.part, _CASE.split(m.group()))), fold(text))
 
     def column(self):
-        @F.pandas_udf("string")
-        def run(texts: pd.Series) -> pd.Series:
+        @F.arrow_udf("string")
+        def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             known: dict[str, str] = {}
 
             def one(m: re.Match) -> str:
@@ -142,17 +146,44 @@ class Splitter:
                     known[r] = " ".join(map(self.part, _CASE.split(r)))
                 return known[r]
 
-            return texts.map(lambda t: None if t is None else _RUN.sub(one, fold(t)))
+            for texts in batches:
+                if len(known) > MAX_KNOWN:
+                    known.clear()
+                yield pa.array([None if t is None else _LONG_RUN.sub(one, fold(t)) for t in texts.to_pylist()], pa.string())
 
         return run
 
 
+def most_frequent(words: DataFrame, most: int) -> DataFrame:
+    """words (word of letters a to z, n), each once: the first most by n, the largest first, then by word.
+
+    How many words have an n, and then how many begin alike, tells where the last one stands; no task sorts all words.
+    """
+    room = most
+    for n, k in sorted(words.groupBy("n").agg(F.count(F.lit(1)).alias("k")).collect(), reverse=True):
+        if k > room:
+            break
+        room -= k
+    else:
+        return words
+    start, tied, taken = "", words.where(F.col("n") == n), F.col("n") > n
+    while k > max(SORTED_WORDS, room):
+        heads = tied.groupBy(F.substring("word", 1, len(start) + 3).alias("h")).agg(F.count(F.lit(1)).alias("k"))
+        for start, k in sorted(heads.collect()):
+            if k > room:
+                break
+            room -= k
+        taken = taken | (F.col("n") == n) & (F.col("word") < start)
+        tied = tied.where(F.startswith("word", F.lit(start)))
+    return words.where(taken).unionByName(tied.orderBy("word").limit(room))
+
+
 def with_matching_text(children: DataFrame, extra: Iterable[str] = (), ranked: tuple[str, ...] = (), most: int = 500_000) -> DataFrame:
     """children (source, text) with bm25_text, what keywords are matched against.
 
     The vocabulary is learned from the same children, in a pass before; most bounds what of it reaches the driver, the
     rarest words being left out.
     """
-    words = protected_words(children, "source", fold_diacritics("text"), extra).orderBy(F.desc("n"), "word").limit(most)
+    words = most_frequent(saved(protected_words(children, "source", fold_diacritics("text"), extra), "protected-words"), most)
     splitter = Splitter({r["word"]: r["n"] for r in words.collect()}, ranked)
     return children.withColumn("bm25_text", splitter.column()("text"))

@@ -1,3 +1,4 @@
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lodestrata.functions import text as T
@@ -21,6 +22,7 @@ def test_title_case(spark):
     assert one(spark, rows, "t string", T.title_case(F.col("t"))) == ["Kaisora Guggulu", "Properties and Action", "The Book of (Rt) x", "And of", "a B"]
 
 
+part = glued.Splitter.part
 COMMON = tuple("the of and to a in is for on with as that it was by from be this are which alleviate patient should medicine fever cure taken water milk honey drink".split())
 
 
@@ -58,3 +60,24 @@ def test_words_of_a_large_source_stay_in_place(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "BroadcastHashJoin" in plan and "hashpartitioning(source" not in plan
+
+
+def test_most_frequent(spark, monkeypatch):
+    monkeypatch.setattr(glued, "SORTED_WORDS", 2)
+    rows = [("a" * i, 3) for i in range(1, 9)] + [(w, 3) for w in "abcde abcdf abcdfg abcdh b baa".split()] + [("top", 9), ("next", 4), ("other", 4)]
+    words = spark.createDataFrame(rows, "word string, n long")
+    order = sorted(rows, key=lambda r: (-r[1], r[0]))
+    for most in range(len(rows) + 2):
+        assert sorted(map(tuple, glued.most_frequent(words, most).collect())) == sorted(order[:most])
+    plan = glued.most_frequent(words, 12)._jdf.queryExecution().optimizedPlan().toString()
+    assert "abcd" in plan  # only words that begin so are sorted
+
+
+def test_parted_runs_across_batches(spark, monkeypatch):
+    # A task parts a run once, not once a batch; runs that are short and of one case aren't looked at.
+    s, asked = glued.Splitter({"vata": 60, "honey": 9}, COMMON), []
+    monkeypatch.setattr(glued.Splitter, "part", lambda self, run: (asked.append(run), part(self, run))[1])
+    texts = [["shouldbetakenwithwater and milk", None], ["shouldbetakenwithwater", "theVata waterā"]]
+    got = [b.to_pylist() for b in s.column().func(iter(map(pa.array, texts)))]
+    assert asked == ["shouldbetakenwithwater", "the", "Vata"]
+    assert got == [["should be taken with water and milk", None], ["should be taken with water", "the Vata watera"]]
